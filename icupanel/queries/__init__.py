@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from icupanel.queries import evaluation, jobs, panels
+from icupanel.queries.base import ORACLE, QUERIES
+
+__all__ = ["evaluation", "jobs", "oracle_sql", "panels", "queries"]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
