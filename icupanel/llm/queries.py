@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icupanel.llm import chat, decontaminate, licenses, mixing, quality, sharding, simhash, tokens, topk
+from icupanel.llm import chat, decontaminate, licenses, lines, mixing, quality, sharding, simhash, tokens, topk
 from icupanel.llm.common import table
 
 SHARDS = 40
@@ -51,13 +51,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.near_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_topk_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_chat_rotation, op2_license_scan, op3_quality_gam, op4_poisson_mix, op5_token_counts, op6_histogram_shards, op7_simhash_gph, op8_decontaminate,
+        op1_chat_rotation, op2_license_scan, op3_quality_gam, op4_poisson_mix, op5_token_counts, op6_histogram_shards, op7_simhash_gph, op8_decontaminate, op9_fuzzy_lines,
         op10_topk_impact)}
 
 
