@@ -207,7 +207,7 @@ def link(fps: DataFrame, radius: int = 2, bucket_limit: int = 4096, scale: int |
         (F.col("l.part") == F.col("r.part")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")) & near,
     ).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
     if any_hot:
-        masks = [_signed(~sum(1 << b for b in c)) for c in combinations(range(BITS), radius)]
+        masks = [_signed(((1 << BITS) - 1) ^ sum(1 << b for b in c)) for c in combinations(range(BITS), radius)]
         cleared = crowd.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("mask", "keep")).select(
             "fp", "mask", F.col("fp").bitwiseAND(F.col("keep")).alias("form"))
         lowest = cleared.groupBy("mask", "form").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
