@@ -102,22 +102,21 @@ def chain(df: DataFrame, steps: Sequence[tuple[str, Callable[[DataFrame], DataFr
     return df
 
 
-def signature(path: np.ndarray, order: int) -> np.ndarray:
-    """Truncated signature of a piecewise linear path: products of increments, level by level (Chen's identity)."""
-    d = path.shape[1]
-    levels = [np.zeros(d**k) for k in range(1, order + 1)]
-    for step in np.diff(path, axis=0):
+def signatures(paths: np.ndarray, order: int) -> np.ndarray:
+    """Truncated signatures of piecewise linear paths, (paths, points, dims): products of increments, level by level (Chen's identity)."""
+    n, _, d = paths.shape
+    outer = lambda a, b: (a[:, :, None] * b[:, None, :]).reshape(n, -1)
+    levels = [np.zeros((n, d**k)) for k in range(1, order + 1)]
+    for step in np.diff(paths, axis=1).transpose(1, 0, 2):
         powers = [step]
         for k in range(2, order + 1):
-            powers.append(np.outer(powers[-1], step).ravel() / k)
-        new = []
-        for k in range(order):
-            total = levels[k] + powers[k]
-            for j in range(k):
-                total = total + np.outer(levels[j], powers[k - 1 - j]).ravel()
-            new.append(total)
-        levels = new
-    return np.concatenate(levels)
+            powers.append(outer(powers[-1], step) / k)
+        levels = [levels[k] + powers[k] + sum(outer(levels[j], powers[k - 1 - j]) for j in range(k)) for k in range(order)]
+    return np.concatenate(levels, axis=1)
+
+
+def signature(path: np.ndarray, order: int) -> np.ndarray:
+    return signatures(path[None], order)[0]
 
 
 def path_signatures(panel: DataFrame, columns: Sequence[str], rows: int = 7, order: int = 3, prefix: str = "signature") -> DataFrame:
@@ -129,7 +128,7 @@ def path_signatures(panel: DataFrame, columns: Sequence[str], rows: int = 7, ord
         pdf = pdf.sort_values(TIME)
         x = np.vstack([np.zeros((rows - 1, d)), pdf[list(columns)].to_numpy(float, na_value=0.0)])
         x = np.nan_to_num(x)
-        out = np.array([signature(x[i : i + rows], order) for i in range(len(pdf))])
+        out = signatures(np.lib.stride_tricks.sliding_window_view(x, rows, axis=0).transpose(0, 2, 1), order)
         return pd.concat([pdf[[ID, TIME]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
     return per_patient(panel.select(ID, TIME, *columns), made, f"{ID} long, {TIME} long, " + ", ".join(f"{n} double" for n in names))
