@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from icupanel.functions.windows import by_stay, so_far, sticky
+from icupanel.operators.ordered import running_sums
 
 ID, TIME = "stay_id", "stay_time"
 
@@ -84,25 +85,23 @@ def timepoint_sweep(rows: DataFrame, cuts: Sequence[float], score: str = "score"
 
 
 def score_counts(rows: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Counts at and above each distinct score, falling: (…by, score, tp, fp, positives, negatives)."""
+    """Counts at and above each distinct score: (…by, score, p, q at it, tp, fp, positives, negatives)."""
     known = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    per = known.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    down = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(*by, "score", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(whole).alias("positives"), F.sum("q").over(whole).alias("negatives"))
+    one = F.col(label).cast("long")
+    per = known.groupBy(*by, F.col(score).alias("score")).agg(F.sum(one).alias("p"), F.sum(1 - one).alias("q"))
+    names = {"p_sum": "tp", "q_sum": "fp", "p_all": "positives", "q_all": "negatives"}
+    return running_sums(per, "score", ["p", "q"], by, descending=True).withColumnsRenamed(names)
 
 
 def auroc_auprc(rows: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """AUROC and AUPRC by trapezoids and average precision by steps over distinct scores; (0,0) and, for precision, (0,1) come first."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("score"))
     c = score_counts(rows, score, label, by)
-    c = c.withColumn("tpr", F.try_divide("tp", "positives")).withColumn("fpr", F.try_divide("fp", "negatives")).withColumn("precision", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")))
-    prev = lambda x, first: F.coalesce(F.lag(x).over(w), F.lit(first))
-    c = c.withColumn("tpr0", prev("tpr", 0.0)).withColumn("fpr0", prev("fpr", 0.0)).withColumn("precision0", prev("precision", 1.0))
+    tp, fp, p, q = (F.col(x) for x in ("tp", "fp", "p", "q"))
+    dx, dy = F.try_divide(q, "negatives"), F.try_divide(p, "positives")
+    tpr, precision = F.try_divide(tp, "positives"), F.try_divide(tp, tp + fp)
+    before = F.coalesce(F.try_divide(tp - p, tp - p + fp - q), F.lit(1.0))
     return c.groupBy(*by).agg(
-        F.sum((F.col("fpr") - F.col("fpr0")) * (F.col("tpr") + F.col("tpr0")) / 2).alias("auroc"),
-        F.sum((F.col("tpr") - F.col("tpr0")) * (F.col("precision") + F.col("precision0")) / 2).alias("auprc"),
-        F.sum((F.col("tpr") - F.col("tpr0")) * F.col("precision")).alias("average_precision"))
+        F.sum(dx * (tpr - dy / 2)).alias("auroc"), F.sum(dy * (precision + before) / 2).alias("auprc"), F.sum(dy * precision).alias("average_precision"))
 
 
 def confusion(rows: DataFrame, prediction: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -123,7 +122,11 @@ def interpolated(points: DataFrame, x: str, y: str, n: int = 200, by: Sequence[s
     ends = F.explode(F.array(*[F.struct(F.lit(a).cast("double").alias("x"), F.lit(b).cast("double").alias("y")) for a, b in (first, last)]))
     groups = points.select(*by).distinct() if by else points.sparkSession.range(1).select()
     rows = points.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).unionByName(groups.select(*by, ends.alias("e")).select(*by, "e.x", "e.y"))
-    one = rows.groupBy(*by, "x").agg(F.max("y").alias("y"))
+    # only the first and last point between two steps matter: at most 2 n points a curve are left
+    at_x, low_y, high_y = F.col("x"), F.struct(F.col("x"), -F.col("y")), F.struct(F.col("x"), F.col("y"))
+    cell = rows.groupBy(*by, F.floor(F.round(at_x * (n - 1), 9)).alias("cell")).agg(F.min(low_y).alias("a"), F.max(high_y).alias("b"))
+    both = F.array(F.struct(F.col("a.x").alias("x"), (-F.col("a.col2")).alias("y")), F.struct(F.col("b.x").alias("x"), F.col("b.y").alias("y")))
+    one = cell.select(*by, F.explode(F.array_distinct(both)).alias("e")).select(*by, "e.x", "e.y").groupBy(*by, "x").agg(F.max("y").alias("y"))
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("x")
     seg = one.withColumn("x1", F.lead("x").over(w)).withColumn("y1", F.lead("y").over(w))
     low = F.ceil(F.round(F.col("x") * (n - 1), 9))
@@ -212,8 +215,9 @@ def sticky_alarm(rows: DataFrame, cut: float, score: str = "score") -> DataFrame
 
 
 def min_max_scaled(table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(F.lit(0))
-    return table.withColumns({f"{c}_scaled": F.try_divide(F.col(c) - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w)) for c in columns})
+    ends = table.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    lit = lambda x: F.lit(x).cast("double")
+    return table.withColumns({f"{c}_scaled": F.try_divide(F.col(c) - lit(ends[f"lo_{c}"]), lit(ends[f"hi_{c}"]) - lit(ends[f"lo_{c}"])) for c in columns})
 
 
 def running_max(score: Column) -> Column:

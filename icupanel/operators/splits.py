@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from icupanel.operators.ordered import hash_ranks
+
 ID = "stay_id"
 
 
@@ -14,37 +16,34 @@ def hash_key(id: Column, seed: Column | int) -> Column:
     return (id.cast("long") * 1103515245 + 12345 + seed.cast("long") * 7919) % 2147483648
 
 
-def ranked(stays: DataFrame, seed: Column | int, by: tuple[str, ...] = ("label",)) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(hash_key(F.col(ID), seed), ID))
+def ranked(stays: DataFrame, seed: Column | int, by: tuple[str, ...] = ("label",)) -> DataFrame:
+    """`stays` with r, the rank of their hash within `by`, and n, the number there."""
+    return hash_ranks(stays, hash_key(F.col(ID), seed), ID, by)
 
 
 def stratified_split(stays: DataFrame, test: float = 0.1, reps: int = 5, validation: float = 0.1, seed: int = 42) -> DataFrame:
     """(stay_id, label, rep, split): one test set, and in each rep a validation share of all stays from the rest; per label, counts rounded up."""
-    n = F.count("*").over(Window.partitionBy("label"))
-    dealt = stays.select(ID, "label", ranked(stays, seed).alias("r"), n.alias("n"))
-    held = dealt.select(ID, "label", (F.col("r") <= F.ceil(F.col("n") * test)).alias("test"), "n")
+    dealt = ranked(stays.select(ID, "label"), seed)
+    held = dealt.select(ID, "label", (F.col("r") <= F.ceil(F.col("n") * test)).alias("test"), F.ceil(F.col("n") * validation).alias("size"))
     each = held.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    w = Window.partitionBy("label", "rep", "test").orderBy(hash_key(F.col(ID), F.col("rep") + 1), ID)
-    part = F.when(F.col("test"), "test").when(F.row_number().over(w) <= F.ceil(F.col("n") * validation), "validation").otherwise("train")
+    each = ranked(each, F.col("rep") + 1, ("label", "rep", "test"))
+    part = F.when(F.col("test"), "test").when(F.col("r") <= F.col("size"), "validation").otherwise("train")
     return each.select(ID, "label", "rep", part.alias("split"))
 
 
 def test_boosts(splits: DataFrame, share: float = 0.8, seed: int = 7) -> DataFrame:
     """Per rep, a stratified `share` of the test stays."""
-    t = splits.where(F.col("split") == "test")
-    w = Window.partitionBy("label", "rep")
-    r = F.row_number().over(w.orderBy(hash_key(F.col(ID), F.col("rep") + seed), ID))
-    return t.withColumn("_r", r).withColumn("_n", F.count("*").over(w)).where(F.col("_r") <= F.ceil(F.col("_n") * share)).drop("_r", "_n")
+    t = ranked(splits.where(F.col("split") == "test"), F.col("rep") + seed, ("label", "rep"))
+    return t.where(F.col("r") <= F.ceil(F.col("n") * share)).drop("r", "n")
 
 
 def folds(stays: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
-    return stays.select(ID, "label", ((ranked(stays, seed) - 1) % k).alias("fold"))
+    return ranked(stays.select(ID, "label"), seed).select(ID, "label", ((F.col("r") - 1) % k).cast("int").alias("fold"))
 
 
 def fine_tuning_subsets(splits: DataFrame, shares: tuple[float, ...] = (0.2, 0.5), seed: int = 3) -> DataFrame:
     """(stay_id, label, rep, share): nested stratified shares of the validation stays."""
-    w = Window.partitionBy("label", "rep")
-    v = splits.where(F.col("split") == "validation").withColumn("r", F.row_number().over(w.orderBy(hash_key(F.col(ID), seed), ID))).withColumn("n", F.count("*").over(w))
+    v = ranked(splits.where(F.col("split") == "validation"), seed, ("label", "rep"))
     each = v.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
     return each.where(F.col("r") <= F.ceil(F.col("n") * F.col("share"))).select(ID, "label", "rep", "share")
 
@@ -52,14 +51,12 @@ def fine_tuning_subsets(splits: DataFrame, shares: tuple[float, ...] = (0.2, 0.5
 def subsample(stays: DataFrame, prevalence: float = 0.188, draws: int = 10, seed: int = 123) -> DataFrame:
     """(draw, stay_id, label): the over-represented class drawn down to the target prevalence, the other whole."""
     p = prevalence
-    sized = stays.groupBy("label").agg(F.count("*").alias("n"))
-    counts = sized.agg(F.sum(F.when(F.col("label") == 1, F.col("n"))).alias("cases"), F.sum(F.when(F.col("label") == 0, F.col("n"))).alias("controls")).first()
-    cases, controls = counts["cases"] or 0, counts["controls"] or 0
+    counts = stays.agg(F.count_if(F.col("label") == 1).alias("cases"), F.count_if(F.col("label") == 0).alias("controls")).first()
+    cases, controls = counts.cases, counts.controls
     over = 1 if cases / max(1, cases + controls) > p else 0
     size = round(controls * p / (1 - p)) if over else round(cases * (1 - p) / p)
     each = stays.select(ID, "label").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    r = F.row_number().over(Window.partitionBy("draw", "label").orderBy(hash_key(F.col(ID), F.col("draw") + seed), ID))
-    return each.withColumn("r", r).where((F.col("label") != over) | (F.col("r") <= size)).select("draw", ID, "label")
+    return ranked(each, F.col("draw") + seed, ("draw", "label")).where((F.col("label") != over) | (F.col("r") <= size)).select("draw", ID, "label")
 
 
 def resample_controls(stays: DataFrame, case_share: float, seed: int = 5) -> DataFrame:
@@ -67,9 +64,8 @@ def resample_controls(stays: DataFrame, case_share: float, seed: int = 5) -> Dat
     row = stays.agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b")).first()
     want = round(row.a * (1 - case_share) / case_share)
     times, rest = divmod(want, max(1, row.b))
-    r = F.row_number().over(Window.partitionBy("label").orderBy(hash_key(F.col(ID), seed), ID))
     n = F.when(F.col("label") == 1, 1).otherwise(times + (F.col("r") <= rest).cast("int"))
-    each = stays.select(ID, "label").withColumn("r", r).withColumn("n", n).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    each = ranked(stays.select(ID, "label"), seed).withColumn("n", n).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return each.select(F.concat_ws("_", ID, "copy").alias("unit_id"), ID, "label")
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from icupanel.operators.ordered import running_sums
+
 ID, TIME = "stay_id", "stay_time"
 
 
@@ -187,8 +189,7 @@ def paired_tests(rows: DataFrame, a: str, b: str) -> DataFrame:
     d = rows.select((F.col(a) - F.col(b)).alias("d")).where("d is not null")
     t = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_difference"), (F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("*")))).alias("t"))
     sized = d.where("d <> 0").select(F.abs("d").alias("size"), (F.col("d") > 0).alias("up")).groupBy("size").agg(F.count("*").alias("k"), F.count_if("up").alias("ups"))
-    before = F.coalesce(F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = sized.withColumn("rank", before + (F.col("k") + 1) / 2)  # one row a distinct size
+    ranked = running_sums(sized, "size", ["k"]).withColumn("rank", F.col("k_sum") - F.col("k") + (F.col("k") + 1) / 2)
     w = ranked.agg(F.sum(F.col("ups") * F.col("rank")).alias("w"), F.sum("k").alias("m"))
     z = (F.col("w") - F.col("m") * (F.col("m") + 1) / 4) / F.sqrt(F.col("m") * (F.col("m") + 1) * (2 * F.col("m") + 1) / 24)
     return t.join(w, F.lit(True)).withColumn("z", z).withColumn("p", normal_tail(F.col("z"))).drop("m")
@@ -198,9 +199,8 @@ def ks_two_sample(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Largest distance of the two groups' distribution functions; `group` is boolean."""
     g = F.col(group).cast("int")
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(g).alias("a"), F.sum(1 - g).alias("b"))
-    up = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(F.lit(0))
-    d = counts.select(F.abs(F.sum("a").over(up) / F.sum("a").over(whole) - F.sum("b").over(up) / F.sum("b").over(whole)).alias("d"), "a", "b")
+    c = running_sums(counts, value, ["a", "b"])
+    d = c.select(F.abs(F.col("a_sum") / F.col("a_all") - F.col("b_sum") / F.col("b_all")).alias("d"), "a", "b")
     return d.agg(F.max("d").alias("statistic"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
 
 
