@@ -13,6 +13,7 @@ item; they are left out before fingerprints are made, which loses nothing.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +28,8 @@ BITS, BLOCKS, BLOCK_BITS = 128, 8, 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _BASE = 0x5851F42D4C957F2D
+#: Punctuation and spaces beyond ASCII, which part words like their ASCII kin.
+_PARTING = re.compile("[\u00a0-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u3003\u3008-\u3011]")
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*b"abcdefghijklmnopqrstuvwxyz0123456789_", *range(128, 256)]] = True
 
@@ -61,8 +64,8 @@ def _piece_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: list[str | None], piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words, one after the other, and each text's bounds in them.
 
-    Words are runs of letters, digits, underscores and non-ASCII characters,
-    lower-cased.  Texts longer than `piece` bytes are cut at white space.
+    Words are runs of letters, digits, underscores and non-ASCII characters but
+    punctuation, lower-cased.  Texts longer than `piece` bytes are cut at white space.
     """
     hashes, counts, held, ends = [], [], [], []
 
@@ -76,7 +79,8 @@ def word_hashes(texts: list[str | None], piece: int = 1 << 20) -> tuple[np.ndarr
 
     size = 0
     for text in texts:
-        raw = (text or "").lower().encode("utf-8", "surrogatepass")
+        text = text or ""
+        raw = (text if text.isascii() else _PARTING.sub(" ", text)).lower().encode("utf-8", "surrogatepass")
         parts = 1
         while len(raw) > piece:
             cut = max(raw.rfind(b" ", 0, piece), raw.rfind(b"\n", 0, piece))

@@ -280,6 +280,7 @@ def test_decontamination(spark, docs, empty):
         w = t.split()
         planted.append((100 + i, prose(rng, 70) + " " + t.upper() + ", " + prose(rng, 50)))
         planted.append((200 + i, t))
+        planted.append((800 + i, prose(rng, 5) + " “" + t + "”— " + prose(rng, 5)))
         if len(w) >= 30:
             near = [*w]
             near[len(w) // 2] = "changed"
@@ -289,7 +290,7 @@ def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([*items, (90, None), (91, "...")], "item_id long, text string")
     d = spark.createDataFrame(planted, "doc_id long, text string")
     got = decontaminate.find_passages(d, bench).collect()
-    want = {(100 + i, i) for i, _ in items} | {(200 + i, i) for i, _ in items} | {(500, 5), (None, 6), (700, 2), (700, 3)}
+    want = {(k + i, i) for k in (100, 200, 800) for i, _ in items} | {(500, 5), (None, 6), (700, 2), (700, 3)}
     found = {(r.doc_id, r.item_id) for r in got}
     assert want <= found
     sets = {i: {" ".join(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in items}
