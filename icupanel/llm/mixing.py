@@ -68,12 +68,12 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, bucket
     `most_buckets` rows; with more it is joined by a shuffle.
     """
     names = [c for c in docs.columns if c not in ("n_copies", "copy_no", "shuffle_key")]
-    table = durable(distribution(rates(docs, bucket, text, weights, temperature, budget)).select(F.col("bucket").alias("_bucket"), "draws", "cdf"))
+    table = durable(distribution(rates(docs, bucket, text, weights, temperature, budget)).select(F.col("bucket").alias("_bucket"), F.col("draws").alias("_draws"), F.col("cdf").alias("_cdf")))
     small = table.limit(most_buckets + 1).count() <= most_buckets
     joined = docs.select(*names).join(F.broadcast(table) if small else table, F.col(bucket).eqNullSafe(F.col("_bucket")))
-    draws = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda i: uniform(seed, i, F.col(doc_id)))
+    draws = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda i: uniform(seed, i, F.col(doc_id)))
     more = joined.withColumn("_u", draws)
-    counted = more.withColumn("n_copies", F.expr("aggregate(_u, 0, (n, u) -> n + size(filter(cdf, c -> c <= u)))"))
+    counted = more.withColumn("n_copies", F.expr("aggregate(_u, 0, (n, u) -> n + size(filter(_cdf, c -> c <= u)))"))
     copies = counted.where("n_copies > 0").select(*names, "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy_no"))
     key = F.concat_ws("|", F.lit(f"order{seed}"), F.col("copy_no").cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
     keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"))

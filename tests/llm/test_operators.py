@@ -366,3 +366,26 @@ def test_top_k(spark):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
     assert topk.top_k(d.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
     assert topk.top_k(d.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+# --- columns --------------------------------------------------------------
+
+def test_clashing_columns(spark, docs):
+    """Extra columns under the names that operators use change no result; those of outputs are replaced."""
+    names = "score predicted size shard slot n_copies copy_no shuffle_key fp key line line_no draws cdf bucket piece pieces hash row h id y x".split()
+    crowded = docs.withColumns({n: F.lit("extra") for n in names})
+    bench = spark.createDataFrame([(1, documents()[62][1])], "item_id long, text string").withColumn("key", F.lit("extra"))
+    model = quality.Model()
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for run, columns in (
+        (lambda d: quality.scored(d, model), ["doc_id", "score", "predicted"]), (mixing.poisson_mix, ["doc_id", "n_copies", "copy_no", "shuffle_key"]),
+        (lambda d: sharding.shard(d, 4), ["doc_id", "size", "shard"]), (simhash.near_duplicates, ["doc_id", "component_id"]), (simhash.keep_one_per_group, ["doc_id"]),
+        (lambda d: decontaminate.find_passages(d, bench), ["doc_id", "item_id"]), (lambda d: decontaminate.decontaminate(d, bench), ["doc_id"]),
+        (licenses.scan, ["doc_id"]), (lambda d: tokens.count_tokens(d, path), ["doc_id", "n_tokens"]), (lines.near_lines, ["doc_id", "line_no", "component_id"]),
+    ):
+        a, b = (Counter(map(tuple, run(d).select(*columns).collect())) for d in (docs, crowded))
+        assert a == b
+    kept = mixing.poisson_mix(crowded)
+    assert set(crowded.columns) <= set(kept.columns) and kept.where("bucket <> 'extra'").count() == 0
