@@ -145,6 +145,13 @@ def first_alarm_sweep(spark, d):
     p = predictions(spark, d)
     return rounded(E.patient_sweep(p, _cuts(p)))
 
+@query("SELECT thres_no, round(coalesce(tp, 0) / nullif(cases, 0), 6) AS pat_recall, round(coalesce(coalesce(tp, 0) / nullif(coalesce(tp, 0) + coalesce(fp, 0), 0), 0), 6) AS pat_precision, round(1 - coalesce(coalesce(fp, 0) / nullif(controls, 0), 0), 6) AS pat_specificity, round(ed, 6) AS earliness_median FROM cuts LEFT JOIN per USING (thres_no), totals", _ALARMS.replace("top >= thres", "top > thres"))
+def strict_alarm_sweep(spark, d):
+    """Alarms only above a threshold, not at it."""
+    p = predictions(spark, d)
+    return rounded(E.patient_sweep(p, _cuts(p), strict=True).select("thres_no", "pat_recall", "pat_precision", "pat_specificity", "earliness_median"))
+
+
 _TP = PREDICTIONS + ", " + cuts_sql(N_CUTS) + """, pos AS (SELECT sum(label) AS p FROM predictions), g AS (SELECT score, sum(label) AS ones, count(*) AS n FROM predictions GROUP BY score),
 tp AS (SELECT thres_no, thres, coalesce(sum(ones), 0) AS tp, coalesce(sum(n), 0) AS alarms FROM cuts LEFT JOIN g ON score >= thres GROUP BY ALL)
 """

@@ -215,6 +215,11 @@ def objectives(spark, d):
         T.ramp_objective(t, mid=-8, outside=-1.0).alias("ramp")))
 
 
+@query("SELECT stay_id, round(avg(u1 - u0), 6) AS mean_utility FROM utilities GROUP BY stay_id", UTILITIES)
+def mean_utility(spark, d):
+    return rounded(T.with_utilities(labelled(spark, d)).groupBy("stay_id").agg(F.avg("utility").alias("mean_utility")))
+
+
 _LAMBDA = UTILITIES + """, per AS (SELECT stay_id, max(CAST(is_case AS INTEGER)) AS c, count(*) AS n, max(onset_position) AS o, sum(greatest(u1, 0)) AS g, sum(u0) AS h FROM utilities GROUP BY stay_id),
 sums AS (SELECT sum(CASE WHEN c = 1 THEN 0 ELSE n END) AS t_neg, sum(CASE WHEN c = 1 THEN greatest(o - 12, 0) ELSE 0 END) AS t_pos, sum(CASE WHEN c = 1 THEN g ELSE 0 END) AS g, sum(CASE WHEN c = 1 THEN h ELSE 0 END) AS h, avg(c) AS prevalence FROM per),
 lam AS (SELECT 0.05 * t_neg / ((5 + 1) * (g - h) - 0.05 * t_pos) AS lam, prevalence FROM sums)
