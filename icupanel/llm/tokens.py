@@ -102,7 +102,8 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     key = ["doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")]
     base = rows.select(*key, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).groupBy("doc_id", "hash").agg(F.max("n_bytes").alias("n_bytes"), F.count("*").alias("copies"))
-    spread = rows.select(*key, F.explode(pre_tokens(F.col("text"), added)).alias("piece"))
+    # split first, then explode: an expression beside explode would be computed for every piece
+    spread = rows.select(*key, pre_tokens(F.col("text"), added).alias("split")).select("doc_id", "hash", F.explode("split").alias("piece"))
     known_sums = (
         spread.join(F.broadcast(top), F.col("piece") == F.col("top_piece"))
         .groupBy(F.col("doc_id").alias("d0"), F.col("hash").alias("h0")).agg(F.sum("top_pieces").alias("common")))
