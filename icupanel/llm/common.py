@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -67,3 +68,57 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = jumped.select("node", "component")
         if not changed:
             return labels
+
+
+def bucket_components(met: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, rounds: int = 2, block: int = 64) -> DataFrame:
+    """(node, component) of all links among ids that share a key; no pair is left out.
+
+    `met` has (id, n, key), n the size of the id's set; `verify` takes distinct
+    pairs (a, b) and returns those that are links.  Pairs whose sizes alone
+    forbid the similarity aren't verified.  In the first rounds each member of a
+    bucket meets two others of it, so that copies in large numbers are connected
+    by few pairs; then all pairs of a bucket that are still in different
+    components are verified, in blocks of about `block` members, so that no task
+    holds a whole large bucket.
+    """
+    bucket = Window.partitionBy("key")
+    ends = met.select("id", "n", "key", F.min("id").over(bucket).alias("lo"), F.max("id").over(bucket).alias("hi"))
+    met = durable(ends.where("lo < hi").select("id", "n", "key"))
+    close = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - F.lit(1e-9)
+    found = tried = labels = None
+    for turn in range(rounds + 1):
+        now = met.withColumn("c", F.col("id"))
+        if labels is not None:
+            own = labels.select(F.col("node").alias("id"), "component")
+            now = met.join(own, "id", "left").select("id", "n", "key", F.coalesce("component", "id").alias("c"))
+        # a member of the first and one of the last component, in another order each time
+        by = F.struct(F.xxhash64("c", F.lit(turn)).alias("order"), "c", "id", "n")
+        ends = now.groupBy("key").agg(F.min(by).alias("one"), F.max(by).alias("two"), F.count("*").alias("size")).where("one.c <> two.c")
+        live = now.join(ends, "key")
+        if labels is not None:  # components only grow, so other buckets are done
+            live = durable(live)
+            met = live.select("id", "n", "key")
+        if turn < rounds:
+            each = live.select("id", "n", "c", F.explode(F.array("one", "two")).alias("p")).where(F.col("c") != F.col("p.c"))
+            pairs = each.where(close(F.col("n"), F.col("p.n"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+        else:
+            blocks = F.ceil(F.col("size") / block).cast("int")
+            cut = live.select("id", "n", "c", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("x"))
+            dealt = cut.select("id", "n", "c", "key", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+            dealt = dealt.select("id", "n", "c", "key", "x", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+            l, r = dealt.alias("l"), dealt.alias("r")
+            same = (F.col("l.key") == F.col("r.key")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+            ours = (F.col("l.x") != F.col("r.x")) | (F.col("l.i") == F.col("l.j"))
+            pairs = l.join(r, same & ours & (F.col("l.id") < F.col("r.id")) & (F.col("l.c") != F.col("r.c")) & close(F.col("l.n"), F.col("r.n")))
+            pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+        pairs = pairs.distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = durable(pairs)
+        if labels is not None and pairs.isEmpty():
+            continue
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        more = durable(verify(pairs))
+        found = more if found is None else found.unionByName(more)
+        labels = connected_components(found)
+    return labels
