@@ -349,6 +349,13 @@ def test_lines(spark, empty):
     assert out[1000] is None and sum("hot" in (t or "") for t in out.values()) == 1
 
 
+def test_lines_of_equal_sets(spark):
+    """Lines of one set of shingles meet whatever their lengths."""
+    texts = [c * n for c in ("-", "=+", "ha ", "| --- ") for n in (10, 40, 90, 200, 500)]
+    got = lines.near_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len({r.component_id for r in got}) == 4 and sum(r.kept for r in got) == 4
+
+
 # --- top-k ----------------------------------------------------------------
 
 def test_top_k(spark):
