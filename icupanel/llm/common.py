@@ -83,7 +83,7 @@ def bucket_components(met: DataFrame, verify: Callable[[DataFrame], DataFrame],
     """
     bucket = Window.partitionBy("key")
     ends = met.select("id", "n", "key", F.min("id").over(bucket).alias("lo"), F.max("id").over(bucket).alias("hi"))
-    met = durable(ends.where("lo < hi").select("id", "n", "key"))
+    met = durable(ends.where("lo < hi").select("id", "n", "key").distinct())
     close = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - F.lit(1e-9)
     found = tried = labels = None
     for turn in range(rounds + 1):

@@ -356,6 +356,17 @@ def test_lines_of_equal_sets(spark):
     assert len({r.component_id for r in got}) == 4 and sum(r.kept for r in got) == 4
 
 
+def test_lines_of_one_bucket(spark, monkeypatch):
+    """Similar lines of a large bucket are linked though no other of its lines is like them."""
+    rng = random.Random(17)
+    texts = [prose(rng, 12, 10**6) for _ in range(300)]
+    texts += [t + "x" for t in texts[:100]]
+    n = F.greatest(F.lit(1), F.octet_length("line") - 4)
+    monkeypatch.setattr(lines, "band_keys", lambda d: d.select("line_id", n.alias("n"), F.lit(1).cast("long").alias("key")))
+    got = lines.near_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len({r.component_id for r in got}) == 300 and sum(r.kept for r in got) == 300
+
+
 # --- top-k ----------------------------------------------------------------
 
 def test_top_k(spark):
