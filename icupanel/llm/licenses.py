@@ -10,10 +10,11 @@ wording from the block.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -57,25 +58,59 @@ def words(text: str) -> list[str]:
     return _WORDS(text.lower())
 
 
-def blocks(text: str, gap: int = 2, longest: int = 120) -> Iterator[tuple[int, str]]:
-    """(number, block): sentences and lines with a cue, joined over at most `gap` others; pieces of at most `longest` words, half overlapping."""
-    parts = [p for p in _SENTENCES.split(text) if p.strip()]
-    cues = [i for i, p in enumerate(parts) if _CUE.search(p)]
-    number, k = 0, 0
+def blocks(parts: list[list[str]], around: int, gap: int = 2) -> Iterator[tuple[int, int]]:
+    """(start, stop) in the words of all parts, sentences and lines: those with a cue, and groups of them over at most `gap` others.
+
+    Groups are widened by `around` words on both sides, across line feeds and
+    abbreviations, and cut into half overlapping pieces that hold any notice of
+    `around` words whole.
+    """
+    at = [0]
+    for p in parts:
+        at.append(at[-1] + len(p))
+    cues = [i for i, p in enumerate(parts) if _CUE.search(" ".join(p))]
+    longest, k = max(120, 2 * around), 0
     while k < len(cues):
         first = k
         while k + 1 < len(cues) and cues[k + 1] - cues[k] <= gap + 1:
             k += 1
-        chosen = parts[cues[first] : cues[k] + 1]
+        for i in cues[first : k + 1]:
+            if at[i + 1] - at[i] <= longest:
+                yield at[i], at[i + 1]
+        start, stop = max(0, at[cues[first]] - around), min(at[-1], at[cues[k] + 1] + around)
+        for x in range(start, max(start + 1, stop - longest // 2), longest // 2):
+            yield x, min(stop, x + longest)
         k += 1
-        for group in ([p] for p in chosen) if len(chosen) > 1 else ():
-            if _CUE.search(group[0]):
-                yield number, group[0]
-                number += 1
-        held = " ".join(chosen).split()
-        for at in range(0, max(1, len(held) - longest // 2), longest // 2):
-            yield number, " ".join(held[at : at + longest])
-            number += 1
+
+
+def notices(text: str, known: Callable[[str], dict | None], around: int) -> list[tuple[int, str, dict]]:
+    """(number, block, match): the notices of a text in order; of those with one license the best."""
+    parts = [p.split() for p in _SENTENCES.split(text) if p.strip()]
+    flat = [w for p in parts for w in p]
+    found, seen = [], set()
+    todo = list(blocks(parts, around))[::-1]
+    number = 0
+    while todo:
+        start, stop = todo.pop()
+        if (start, stop) in seen or stop <= start:
+            continue
+        seen.add((start, stop))
+        block = " ".join(flat[start:stop])
+        if not _CUE.search(block):
+            continue
+        got = known(block)
+        if got:
+            ends = np.cumsum([len(words(w)) for w in flat[start:stop]])
+            low, high = got["span"]
+            a, b = start + int(np.searchsorted(ends, low, side="right")), start + int(np.searchsorted(ends, high, side="left")) + 1
+            found.append((got["rank"], number, a, b, block, got))
+            todo += [(b, stop), (start, a)]  # what else the block holds
+        number += 1
+    kept: list[tuple] = []
+    for f in sorted(found, key=lambda f: (f[0], f[1])):
+        if not any(f[5]["license"] == g[5]["license"] for g in kept):
+            kept.append(f)
+    return [(f[1], f[4], f[5]) for f in sorted(kept, key=lambda f: f[2])]
 
 
 @lru_cache(maxsize=8)
@@ -123,7 +158,9 @@ def match(block: str, templates: tuple[tuple[str, str], ...], ranked: int = 3, t
             continue
         rank = (len(missing) + len(added), -gain, -len(template), name)
         if best is None or rank < best[0]:
-            best = (rank, {"license": name, "template": text, "alone": alone, "reduction": gain, "missing": missing, "added": added})
+            same = [m for m in SequenceMatcher(None, template, own, autojunk=False).get_matching_blocks() if m.size]
+            span = (same[0].b, same[-1].b + same[-1].size)
+            best = (rank, {"rank": rank, "span": span, "license": name, "template": text, "alone": alone, "reduction": gain, "missing": missing, "added": added})
     return best and best[1]
 
 
@@ -131,12 +168,13 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, d
     """(doc_id, block_no, block, license, template, alone, reduction, missing, added): confirmed notices, one row each.
 
     `alone` is the block's compressed size, `reduction` what the template saves
-    of it.  Of overlapping blocks with the same license only the first comes
+    of it.  Of a text's notices with the same license only the best comes
     out; null and empty texts have none; repeated rows come out each; a null
     doc_id stays null.  Other columns are dropped.  Only rows with a cue word
     reach Python; nothing is shuffled.
     """
     flat = tuple((name, t) for name, ts in (TEMPLATES if templates is None else templates).items() for t in ts)
+    around = max((len(t.split()) for _, t in flat), default=0)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(CUE))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, block_no int, block string, license string, template string, alone int, reduction int, missing array<string>, added array<string>"
     types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
@@ -149,13 +187,9 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, d
         for batch in batches:
             at, found = [], []
             for i, t in enumerate(batch.column(1)):
-                seen: set[str] = set()
-                for number, block in blocks(t.as_py()):
-                    got = known(block)
-                    if got and got["license"] not in seen:
-                        seen.add(got["license"])
-                        at.append(i)
-                        found.append((number, block, *got.values()))
+                for number, block, got in notices(t.as_py(), known, around):
+                    at.append(i)
+                    found.append((number, block, *[got[c] for c in schema_names[3:]]))
             columns = zip(*found) if found else ([] for _ in types)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, types))], schema_names)
 

@@ -78,6 +78,19 @@ def test_licenses(spark):
     assert all(0 < r.reduction <= r.alone for r in got)
 
 
+def test_license_templates_verbatim_and_wrapped(spark):
+    import textwrap
+
+    rows, names = [], []
+    for name, ts in licenses.TEMPLATES.items():
+        for t in ts:
+            for form in (t, textwrap.fill(t, 28), "Some code.\n\n" + "\n".join("# " + x for x in textwrap.wrap(t, 50)) + "\n\nint main() {}"):
+                rows.append((len(rows), form))
+                names.append(name)
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.license) for r in got) == Counter(enumerate(names))
+
+
 # --- quality --------------------------------------------------------------
 
 def test_quality(spark, docs, empty):
