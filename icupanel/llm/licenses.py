@@ -84,7 +84,7 @@ def blocks(parts: list[list[str]], around: int, gap: int = 2) -> Iterator[tuple[
 
 
 def notices(text: str, known: Callable[[str], dict | None], around: int) -> list[tuple[int, str, dict]]:
-    """(number, block, match): the notices of a text in order; of those with one license the best."""
+    """(number, block, match): the notices of a text in order; of overlapping ones with one license the best."""
     parts = [p.split() for p in _SENTENCES.split(text) if p.strip()]
     flat = [w for p in parts for w in p]
     found, seen = [], set()
@@ -108,7 +108,7 @@ def notices(text: str, known: Callable[[str], dict | None], around: int) -> list
         number += 1
     kept: list[tuple] = []
     for f in sorted(found, key=lambda f: (f[0], f[1])):
-        if not any(f[5]["license"] == g[5]["license"] for g in kept):
+        if not any(f[5]["license"] == g[5]["license"] and f[2] < g[3] and g[2] < f[3] for g in kept):
             kept.append(f)
     return [(f[1], f[4], f[5]) for f in sorted(kept, key=lambda f: f[2])]
 
@@ -168,8 +168,8 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, d
     """(doc_id, block_no, block, license, template, alone, reduction, missing, added): confirmed notices, one row each.
 
     `alone` is the block's compressed size, `reduction` what the template saves
-    of it.  Of a text's notices with the same license only the best comes
-    out; null and empty texts have none; repeated rows come out each; a null
+    of it.  Of overlapping notices with the same license only the best comes out,
+    separate ones come out each; null and empty texts have none; repeated rows come out each; a null
     doc_id stays null.  Other columns are dropped.  Only rows with a cue word
     reach Python; nothing is shuffled.
     """

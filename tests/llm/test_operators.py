@@ -91,6 +91,13 @@ def test_license_templates_verbatim_and_wrapped(spark):
     assert Counter((r.doc_id, r.license) for r in got) == Counter(enumerate(names))
 
 
+def test_separate_notices_of_one_license(spark):
+    short, full = licenses.TEMPLATES["Apache-2.0"]
+    filler = prose(random.Random(8), 200)
+    d = spark.createDataFrame([(1, f"{short} {filler}. {full}. {filler}. {full}.")], "doc_id long, text string")
+    assert [r.template for r in licenses.scan(d).collect()] == [short, full, full]
+
+
 # --- quality --------------------------------------------------------------
 
 def test_quality(spark, docs, empty):
