@@ -54,10 +54,15 @@ def write_psv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     df.select(ID, TIME, *columns).repartition(ID).sortWithinPartitions(ID, TIME).write.partitionBy(ID).csv(path, sep="|", header=True, nullValue="NaN")
 
 
-def to_documents(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Prediction documents: for each run, ids and ragged lists of times, labels and scores, a stay each."""
+def to_documents(rows: DataFrame, keys: Sequence[str], rows_a_document: int = 100_000) -> DataFrame:
+    """Prediction documents: for each run, ids and ragged lists of times, labels and scores, a stay each.
+
+    A run's stays are dealt by hash over as many documents as keep each near
+    `rows_a_document` rows if all rows were of one run; a stay is never parted.
+    """
+    chunks = max(1, -(-rows.count() // rows_a_document))
     per = rows.groupBy(*keys, ID).agg(F.sort_array(F.collect_list(F.struct(TIME, "label", "score"))).alias("r"))
-    one = per.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(ID, "r"))).alias("d"))
+    one = per.groupBy(*keys, F.pmod(F.xxhash64(ID), F.lit(chunks)).alias("_chunk")).agg(F.sort_array(F.collect_list(F.struct(ID, "r"))).alias("d"))
     ragged = lambda c: F.transform("d", lambda s: F.transform(s["r"], lambda r: r[c]))
     return one.select(*keys, F.transform("d", lambda s: s[ID]).alias("ids"), ragged(TIME).alias("times"), ragged("label").alias("labels"), ragged("score").alias("scores"))
 

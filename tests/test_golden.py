@@ -134,3 +134,11 @@ def test_tests_and_intervals(spark):
     got = ST.paired_tests(df, "b", "a").first()
     assert got.n == 30 and abs(got.mean_difference) < 1e-12 and 0 <= got.p <= 1
     assert ST.percentile_interval(df, "a").first().low == pytest.approx(0.725)
+
+
+def test_documents_are_bounded(spark):
+    df = spark.range(200).selectExpr("'a' AS model", "id AS stay_id", "explode(sequence(0L, 9L)) AS stay_time").withColumns({"label": F.lit(0.0), "score": F.col("stay_time") / 10})
+    docs = io.to_documents(df, ["model"], rows_a_document=100)
+    assert docs.count() > 10 and docs.agg(F.max(F.size("ids"))).first()[0] < 40
+    back = io.from_documents(docs, ["model"])
+    assert sorted(back.select(*df.columns).collect()) == sorted(df.collect())
