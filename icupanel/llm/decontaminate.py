@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from icupanel.llm.common import durable
+
 BITS, BLOCKS, BLOCK_BITS = 128, 8, 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -120,7 +122,7 @@ def _sums(shingles: np.ndarray) -> np.ndarray:
 
 
 def _prints(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    return np.packbits(sums[stop] > sums[start], axis=1).view(np.uint64)
+    return np.packbits((sums[stop] - sums[start]) > 0, axis=1).view(np.uint64)
 
 
 class _Class:
@@ -160,7 +162,8 @@ class _Class:
 class Index:
     """The benchmark items of one pass, ready to meet documents."""
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int = 5, radius: int = 31, similarity: float = 0.8, spread: float = 1.15):
+    def __init__(self, items: list[tuple[int, str]], shingle: int = 5, radius: int = 31, similarity: float = 0.8, spread: float = 1.15, total: int | None = None, held_by: dict[int, int] | None = None):
+        """`total` and `held_by` are the number of items and of those that hold a shingle, over all passes."""
         self.radius, self.similarity = radius, similarity
         self.ids = [i for i, _ in items]
         flat, bounds = word_hashes([t for _, t in items])
@@ -168,9 +171,10 @@ class Index:
         self.lengths = [len(h) for h in hashes]
         self.k = [max(1, min(shingle, n)) for n in self.lengths]
         self.shingles = [Counter(shingle_hashes(h, k).tolist()) for h, k in zip(hashes, self.k)]
-        df = Counter(s for c in self.shingles for s in c)
-        self.weight = {s: math.log1p(len(items) / n) for s, n in df.items()}
-        self.other = math.log1p(len(items))
+        df = Counter(s for c in self.shingles for s in c) if held_by is None else held_by
+        total = len(items) if total is None else total
+        self.weight = {s: math.log1p(total / n) for s, n in df.items()}
+        self.other = math.log1p(total)
         self.classes: list[_Class] = []
         order = sorted((n, k, i) for i, (n, k) in enumerate(zip(self.lengths, self.k)) if n)
         while order:
@@ -243,13 +247,26 @@ class Index:
         return out
 
 
+def _held_by(items: DataFrame, shingle: int) -> DataFrame:
+    """(s, n, passes): how many items hold each shingle, and the passes of those items."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h, _ = word_hashes([t])
+                s = np.unique(shingle_hashes(h, max(1, min(shingle, len(h)))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), p, np.int32)), pa.array(s.view(np.int64))], ["p", "s"])
+
+    return durable(items.mapInArrow(spread, "p int, s long").groupBy("s").agg(F.count("*").alias("n"), F.collect_set("p").alias("passes")))
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, similarity: float = 0.8, items_a_pass: int = 1000, words_a_chunk: int = 100_000) -> DataFrame:
     """(key, item_id, similarity, start): documents that hold a benchmark item, and where best.
 
     Similarity is the weighted Jaccard of shingle multisets of the item and a
     window of its length; a shingle weighs ln(1 + items / items that hold it).
     `start` counts words.  Items without words match nothing; items shorter than
-    a shingle are one shingle; null and empty documents hold nothing; repeated
+    a shingle are one shingle; items without a numeric id come out under a null id; null and empty documents hold nothing; repeated
     documents come out each; a repeated item_id is several items, the best of
     which is reported.  Other columns are dropped.
 
@@ -260,13 +277,15 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     spark = docs.sparkSession
     n = benchmark.count()
     passes = max(1, -(-n // items_a_pass))
-    dealt = benchmark.select(F.col(item_id).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+    dealt = benchmark.select(F.col(item_id).try_cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
+    held_by = _held_by(dealt.select(F.pmod(F.xxhash64("i", "t"), F.lit(passes)).cast("int").alias("p"), "t"), shingle) if passes > 1 else None
     out = None
     for p in range(passes):
-        items = sorted((r.i, r.t) for r in dealt.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p).where("i is not null").collect())
-        index = spark.sparkContext.broadcast(Index(items, shingle, similarity=similarity))
+        items = sorted(((r.i, r.t) for r in dealt.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        known = None if held_by is None else {r.s & (1 << 64) - 1: r.n for r in held_by.where(F.array_contains("passes", p)).select("s", "n").collect()}
+        index = spark.sparkContext.broadcast(Index(items, shingle, similarity=similarity, total=n, held_by=known))
 
         def match(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -302,7 +321,7 @@ def _match(index: Index, texts: list[str | None], words_a_chunk: int) -> list[tu
             k, new = (d, index.ids[i]), (near, start + a - int(bounds[d]))
             if k not in best or (new[0], -new[1]) > (best[k][0], -best[k][1]):
                 best[k] = new
-    return sorted((d, i, round(near, 6), start) for (d, i), (near, start) in best.items())
+    return sorted(((d, i, round(near, 6), start) for (d, i), (near, start) in best.items()), key=lambda x: (x[0], x[1] is None, x[1] or 0))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

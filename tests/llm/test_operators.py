@@ -328,6 +328,19 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_passages(empty, bench).count() == 0 and decontaminate.find_passages(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_over_passes(spark):
+    """Weights are those of the whole benchmark in every pass; items without an id are found; sums may wrap."""
+    rng = random.Random(12)
+    shared = prose(rng, 25, 5000)
+    items = [(i, shared + " " + prose(rng, 25, 5000)) for i in range(12)] + [(None, prose(rng, 40, 5000))]
+    texts = [(i, " ".join(w if k not in (30, 38) else "odd" for k, w in enumerate(t.split()))) for i, t in items] + [(50, items[12][1]), (51, items[3][1])]
+    bench, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    one, several = ({tuple(r) for r in decontaminate.find_passages(d, bench, similarity=0.3, items_a_pass=n).collect()} for n in (100, 2))
+    assert one == several and (50, None, 1.0, 0) in one and (51, 3, 1.0, 0) in one
+    sums = np.array([[32767] * 128, [-32768 + 9] * 128], np.int16)
+    assert (decontaminate._prints(sums, np.array([0]), np.array([1])) == np.uint64(2**64 - 1)).all()
+
+
 # --- lines ----------------------------------------------------------------
 
 def shingle_set(line):
