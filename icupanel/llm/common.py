@@ -15,24 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`; a temporary one only where that is unset (tests on one machine)."""
+    """The folder the cluster names in `spark.checkpoint.dir`; a temporary one only where that is unset and all runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="icupanel-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="icupanel-checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """`df` computed once into the shared folder, with its lineage cut; Spark removes it with the result."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` computed once, as Parquet in the shared folder, and read back; removed when the session's JVM ends.
 
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` written once as Parquet to the shared folder and read back: smaller than a checkpoint and with statistics, but it stays there."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    Lost executors take nothing of it with them.  Unlike a checkpoint it doesn't
+    carry Spark's estimates of size and its constraints along, which multiply
+    from round to round of an iteration until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

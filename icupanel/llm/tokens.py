@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from icupanel.llm.common import durable, written
+from icupanel.llm.common import durable
 
 #: Fixed value: the characters of the Unicode property White_Space.
 SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -97,7 +97,7 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     columns are dropped.
     """
     added = added_tokens(path)
-    known = written(vocabulary(docs, path, text))
+    known = durable(vocabulary(docs, path, text))
     top = durable(frequent(known, common).select(F.col("piece").alias("top_piece"), F.col("pieces").alias("top_pieces")))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     key = ["doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")]
