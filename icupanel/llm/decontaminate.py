@@ -266,9 +266,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     Similarity is the weighted Jaccard of shingle multisets of the item and a
     window of its length; a shingle weighs ln(1 + items / items that hold it).
     `start` counts words.  Items without words match nothing; items shorter than
-    a shingle are one shingle; items without a numeric id come out under a null id; null and empty documents hold nothing; repeated
-    documents come out each; a repeated item_id is several items, the best of
-    which is reported.  Other columns are dropped.
+    a shingle are one shingle; items without a numeric id come out each under a
+    null id; null and empty documents hold nothing; repeated documents come out
+    each; a repeated item_id is several items, the best of which is reported.  Other columns are dropped.
 
     The benchmark goes through in passes of `items_a_pass` items, each with an
     index of bounded size; texts are cut into overlapping chunks, so memory
@@ -280,10 +280,12 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     dealt = benchmark.select(F.col(item_id).try_cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    held_by = _held_by(dealt.select(F.pmod(F.xxhash64("i", "t"), F.lit(passes)).cast("int").alias("p"), "t"), shingle) if passes > 1 else None
+    # rows of one id share a pass, so that the best of them is known there; those without an id are items of their own
+    deal = F.pmod(F.when(F.col("i").isNull(), F.xxhash64("t")).otherwise(F.xxhash64("i")), F.lit(passes))
+    held_by = _held_by(dealt.select(deal.cast("int").alias("p"), "t"), shingle) if passes > 1 else None
     out = None
     for p in range(passes):
-        items = sorted(((r.i, r.t) for r in dealt.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        items = sorted(((r.i, r.t) for r in dealt.where(deal == p).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         known = None if held_by is None else {r.s & (1 << 64) - 1: r.n for r in held_by.where(F.array_contains("passes", p)).select("s", "n").collect()}
         index = spark.sparkContext.broadcast(Index(items, shingle, similarity=similarity, total=n, held_by=known))
 
@@ -303,7 +305,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 def _match(index: Index, texts: list[str | None], words_a_chunk: int) -> list[tuple[int, int, float, int]]:
     """(document, item_id, similarity, start) over a batch of texts."""
     hashes, bounds = word_hashes(texts)
-    best: dict[tuple[int, int], tuple[float, int]] = {}
+    best: dict[tuple[int, int | None, int], tuple[float, int]] = {}
     overlap = 2 * index.longest
     step = max(words_a_chunk, 2 * overlap)
     pieces = [(d, x, min(b, x + step + overlap)) for d, a, b in index.spans(hashes, bounds) for x in range(a, max(a + 1, b - overlap), step)]
@@ -318,10 +320,10 @@ def _match(index: Index, texts: list[str | None], words_a_chunk: int) -> list[tu
         ends = np.concatenate(([0], np.cumsum([b - a for _, a, b in chunk]))).astype(np.int64)
         for (h, i), (near, start) in index.hits(flat, ends).items():
             d, a, _ = chunk[h]
-            k, new = (d, index.ids[i]), (near, start + a - int(bounds[d]))
+            k, new = (d, index.ids[i], i if index.ids[i] is None else -1), (near, start + a - int(bounds[d]))
             if k not in best or (new[0], -new[1]) > (best[k][0], -best[k][1]):
                 best[k] = new
-    return sorted(((d, i, round(near, 6), start) for (d, i), (near, start) in best.items()), key=lambda x: (x[0], x[1] is None, x[1] or 0))
+    return sorted(((d, i, round(near, 6), start) for (d, i, _), (near, start) in best.items()), key=lambda x: (x[0], x[1] is None, x[1] or 0))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

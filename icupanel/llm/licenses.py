@@ -51,15 +51,14 @@ CUE = r"(?i)licen[sc]e|copyright|permi(?:ssion|tted)|redistribut|public domain|a
 
 _WORDS = re.compile(r"[a-z]+(?:[-'][a-z]+)*|\d+(?:\.\d+)*|cc0").findall
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
-_CUE = re.compile(CUE)
 
 
 def words(text: str) -> list[str]:
     return _WORDS(text.lower())
 
 
-def blocks(parts: list[list[str]], around: int, gap: int = 2) -> Iterator[tuple[int, int]]:
-    """(start, stop) in the words of all parts, sentences and lines: those with a cue, and groups of them over at most `gap` others.
+def blocks(parts: list[list[str]], around: int, cue: re.Pattern | None, gap: int = 2) -> Iterator[tuple[int, int]]:
+    """(start, stop) in the words of all parts, sentences and lines: those with a cue (without `cue`: all), and groups of them over at most `gap` others.
 
     Groups are widened by `around` words on both sides, across line feeds and
     abbreviations, and cut into half overlapping pieces that hold any notice of
@@ -68,7 +67,7 @@ def blocks(parts: list[list[str]], around: int, gap: int = 2) -> Iterator[tuple[
     at = [0]
     for p in parts:
         at.append(at[-1] + len(p))
-    cues = [i for i, p in enumerate(parts) if _CUE.search(" ".join(p))]
+    cues = [i for i, p in enumerate(parts) if cue is None or cue.search(" ".join(p))]
     longest, k = max(120, 2 * around), 0
     while k < len(cues):
         first = k
@@ -83,12 +82,12 @@ def blocks(parts: list[list[str]], around: int, gap: int = 2) -> Iterator[tuple[
         k += 1
 
 
-def notices(text: str, known: Callable[[str], dict | None], around: int) -> list[tuple[int, str, dict]]:
+def notices(text: str, known: Callable[[str], dict | None], around: int, cue: re.Pattern | None) -> list[tuple[int, str, dict]]:
     """(number, block, match): the notices of a text in order; of overlapping ones with one license the best."""
     parts = [p.split() for p in _SENTENCES.split(text) if p.strip()]
     flat = [w for p in parts for w in p]
     found, seen = [], set()
-    todo = list(blocks(parts, around))[::-1]
+    todo = list(blocks(parts, around, cue))[::-1]
     number = 0
     while todo:
         start, stop = todo.pop()
@@ -96,7 +95,7 @@ def notices(text: str, known: Callable[[str], dict | None], around: int) -> list
             continue
         seen.add((start, stop))
         block = " ".join(flat[start:stop])
-        if not _CUE.search(block):
+        if cue is not None and not cue.search(block):
             continue
         got = known(block)
         if got:
@@ -164,30 +163,38 @@ def match(block: str, templates: tuple[tuple[str, str], ...], ranked: int = 3, t
     return best and best[1]
 
 
-def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, doc_id: str = "doc_id", text: str = "text", tolerance: float = 0.1) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, doc_id: str = "doc_id", text: str = "text", tolerance: float = 0.1, ranked: int = 3, cue: str | None = None) -> DataFrame:
     """(doc_id, block_no, block, license, template, alone, reduction, missing, added): confirmed notices, one row each.
 
     `alone` is the block's compressed size, `reduction` what the template saves
     of it.  Of overlapping notices with the same license only the best comes out,
     separate ones come out each; null and empty texts have none; repeated rows come out each; a null
-    doc_id stays null.  Other columns are dropped.  Only rows with a cue word
-    reach Python; nothing is shuffled.
+    doc_id stays null.  Other columns are dropped.  An empty table gives no rows.
+
+    Texts and blocks that don't match the pattern `cue` are no candidates.  The
+    default holds for this module's templates, each of which matches it; the
+    caller's own templates are looked for everywhere unless they come with a cue.
+    The templates of the `ranked` largest reductions are compared word by word;
+    `ranked` = the number of templates compares all.  Nothing is shuffled.
     """
     flat = tuple((name, t) for name, ts in (TEMPLATES if templates is None else templates).items() for t in ts)
     around = max((len(t.split()) for _, t in flat), default=0)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(CUE))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    cue = CUE if cue is None and templates is None else cue
+    rows = rows.where(F.col("text").rlike(cue)) if cue else rows
+    pattern = re.compile(cue) if cue else None
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, block_no int, block string, license string, template string, alone int, reduction int, missing array<string>, added array<string>"
     types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(maxsize=10_000)
         def known(block: str) -> dict | None:
-            return match(block, flat, tolerance=tolerance)
+            return match(block, flat, ranked, tolerance)
 
         for batch in batches:
             at, found = [], []
             for i, t in enumerate(batch.column(1)):
-                for number, block, got in notices(t.as_py(), known, around):
+                for number, block, got in notices(t.as_py(), known, around, pattern):
                     at.append(i)
                     found.append((number, block, *[got[c] for c in schema_names[3:]]))
             columns = zip(*found) if found else ([] for _ in types)

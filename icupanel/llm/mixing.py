@@ -77,4 +77,5 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, bucket
     copies = counted.where("n_copies > 0").select(*names, "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy_no"))
     key = F.concat_ws("|", F.lit(f"order{seed}"), F.col("copy_no").cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
     keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    # the text as well, as rows of one doc_id or without any share a shuffle_key
+    return keyed.repartition("shuffle_key", F.xxhash64(text)).sortWithinPartitions("shuffle_key")

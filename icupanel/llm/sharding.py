@@ -126,22 +126,24 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: int = 0, probes: int
     return [key for key, _ in ordered], [rows for _, rows in ordered]
 
 
-def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", overhead: int = 16, tolerance: float = 0.0, blocks: int = 8) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", overhead: int = 16, tolerance: float = 0.0, blocks: int | None = None, block_bytes: int = 1 << 30, most_blocks: int = 256) -> DataFrame:
     """`docs` with size, shard (0 to shards - 1) and slot (gapless from 0 in a shard).
 
     Sizes are UTF-8 bytes plus `overhead`; shards are equal in bytes to within
     `tolerance` (a share of the mean shard), or to the nearest document at 0.
     Equal texts are neighbours and only parted where a splitter has to fall
     inside their group, so a hot group is split, not piled up.  Each shard is
-    built from `blocks` blocks, each a window partition of its own; slots follow
-    the key order.  Null texts count as empty; a null doc_id sorts first; rows
+    built from `blocks` blocks, each a window partition of its own, by default of
+    about `block_bytes` bytes, but 8 to `most_blocks` a shard; slots follow the
+    key order.  Null texts count as empty; a null doc_id sorts first; rows
     equal in text and doc_id stay in one block and may come in any order.  An
     empty table gives no rows.  Columns named size, shard or slot are replaced.
     """
-    parts = shards * blocks
     hashed = lambda df: df.withColumn("_h", text_hash(F.col(text))).withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST + 1))).withColumn("size", byte_size(F.col(text), overhead))
     keys = durable(hashed(docs).select(F.col("_h").alias("h"), F.col("_id").alias("id"), "size"))
     total = keys.agg(F.sum("size")).first()[0] or 0
+    blocks = blocks or min(most_blocks, max(8, -(-total // (shards * block_bytes))))
+    parts = shards * blocks
     splitters, below = find_splitters(keys, parts, int(tolerance * total / shards))
     base = docs.sparkSession.createDataFrame(
         [(k, (below[k - 1] if k else 0) - (below[k // blocks * blocks - 1] if k >= blocks else 0)) for k in range(parts if splitters else 0)],

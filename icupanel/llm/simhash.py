@@ -225,13 +225,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     name, so a component of null ids only is null.  Other columns are dropped.
     """
     signed = durable(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words_per_shingle).select("doc_id", "fp"))
-    firsts = durable(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    firsts = durable(signed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
     labels = connected_components(link(firsts.select("fp"), radius, bucket_limit))
     members = labels.join(firsts, F.col("node") == F.col("fp")).select("node", "component", "first")
     smallest = members.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = members.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
     named = firsts.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return signed.join(named, "fp").select(
+    # at most a thousand fingerprints are held by more than a thousandth of the rows: those meet their names by broadcast
+    most = max(8, signed.count() // 1000)
+    hot = F.broadcast(firsts.where(F.col("rows") > most).select(F.col("fp").alias("_hot")))
+    few = signed.join(hot, F.col("fp") == F.col("_hot"), "left_anti").join(named, "fp")
+    many = signed.join(F.broadcast(named.join(hot, F.col("fp") == F.col("_hot"), "left_semi")), "fp")
+    return few.unionByName(many).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -98,6 +98,19 @@ def test_separate_notices_of_one_license(spark):
     assert [r.template for r in licenses.scan(d).collect()] == [short, full, full]
 
 
+def test_own_templates_and_all_ranked(spark):
+    """A caller's template is found without a cue word; comparing all templates changes nothing; an empty table gives no rows."""
+    own = {"House": ("Any reuse of these pages outside the house needs a written note from the editor in charge of them",)}
+    text = prose(random.Random(9), 50) + ". " + own["House"][0] + ". " + prose(random.Random(10), 50)
+    d = spark.createDataFrame([(1, text), (2, prose(random.Random(11), 80)), (3, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.license) for r in licenses.scan(d, own).collect()] == [(1, "House")]
+    rows = [(k, t.replace("the", "this", 1)) for k, t in enumerate(t for ts in licenses.TEMPLATES.values() for t in ts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    some, every = (sorted(map(str, licenses.scan(d, ranked=n).collect())) for n in (3, 100))
+    assert some == every and len(some) > 10
+    assert licenses.scan(d.limit(0)).count() == 0
+
+
 # --- quality --------------------------------------------------------------
 
 def test_quality(spark, docs, empty):
@@ -123,6 +136,25 @@ def test_quality_pairs():
     assert ((m.score(x) > 0.5) == y).mean() > 0.9 and (0, 1) in {(i, j) for i, j, _ in m.pairs}
 
 
+def test_quality_score_by_table_lookups(spark):
+    """Scores are sums of one cell of every table, found by plain loops; a null text scores as an empty one."""
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randrange(1, 90)) + rng.choice([".", "!!", "| |", " ÄÖ"]) for _ in range(200)]
+    x = np.array([quality.features(t) for t in texts])
+    model = quality.fit(x, np.array([float("!" in t or "|" in t) for t in texts]), rounds=20, pair_rounds=10)
+    asked = [*texts[:40], "", None, "word " * 60_000]
+
+    def slow(text):
+        f = quality.features(text)
+        bins = [sum(e <= v for e in edges) for v, edges in zip(f.tolist(), model.edges)]
+        odds = model.intercept + sum(t[k] for t, k in zip(model.tables, bins)) + sum(t[bins[i], bins[j]] for i, j, t in model.pairs)
+        return 1 / (1 + math.exp(-odds))
+
+    got = {r.doc_id: r for r in quality.scored(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    assert len(model.pairs) > 0 and all(abs(got[i].score - slow(t)) < 1e-9 for i, t in enumerate(asked))
+    assert got[40].score == got[41].score and all(r.predicted == int(r.score >= 0.3) for r in got.values())
+
+
 # --- mixing ---------------------------------------------------------------
 
 def test_mixing(spark, docs, empty):
@@ -341,6 +373,56 @@ def test_decontamination_over_passes(spark):
     assert (decontaminate._prints(sums, np.array([0]), np.array([1])) == np.uint64(2**64 - 1)).all()
 
 
+def test_decontamination_of_repeated_ids(spark):
+    """Rows of one item_id give one row a document, the best, in however many passes; items without an id stay apart."""
+    rng = random.Random(14)
+    first, second, other = (prose(rng, 40, 5000) for _ in range(3))
+    near = " ".join("odd" if k == 20 else w for k, w in enumerate(first.split()))
+    items = [(1, near), (1, first), (2, second), (None, other), (None, other)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([(10, first), (11, second + " " + other), (12, prose(rng, 50, 5000)), (11, second)], "doc_id long, text string")
+    got = [sorted(map(str, decontaminate.find_passages(d, bench, items_a_pass=n).collect())) for n in (1, 2, 100)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 5
+    assert "similarity=1.0" in got[0][0] and "doc_id=10" in got[0][0]
+
+
+def test_decontamination_against_all_windows(spark):
+    """Links and similarities of every window of every item's length, by loops."""
+    rng = random.Random(15)
+    items = [(i, prose(rng, rng.choice([30, 45, 60, 120]), 3000)) for i in range(10)]
+    texts = []
+    for i in range(60):
+        w = items[i % 10][1].split()
+        kind = i // 10
+        if kind == 0:
+            w = w[: len(w) * 9 // 10]
+        elif kind == 1:
+            w = w[len(w) // 12 :]
+        elif kind < 5:
+            for _ in range(kind - 1):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append((i, " ".join([prose(rng, rng.randrange(40), 3000), *w, prose(rng, rng.randrange(40), 3000)]).strip()))
+    grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    sets = {i: grams(t.split()) for i, t in items}
+    held = Counter(s for c in sets.values() for s in c)
+    weight = lambda s: math.log1p(len(items) / held[s]) if s in held else math.log1p(len(items))
+    want = {}
+    for d, t in texts:
+        w = t.split()
+        for i, item in items:
+            n = len(item.split())
+            for y in range(max(1, len(w) - n + 1)):
+                c = grams(w[y : y + n])
+                both = sum((c & sets[i])[s] * weight(s) for s in c & sets[i])
+                whole = sum(k * weight(s) for s, k in (c | sets[i]).items())
+                if both >= 0.8 * whole - 1e-12:
+                    want[d, i] = max(want.get((d, i), 0), both / whole)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_passages(
+        spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want) and len(want) > 20
+    assert all(abs(want[k] - v) < 1e-5 for k, v in got.items())
+
+
 # --- lines ----------------------------------------------------------------
 
 def shingle_set(line):
@@ -400,6 +482,40 @@ def test_lines_of_one_bucket(spark, monkeypatch):
     assert len({r.component_id for r in got}) == 300 and sum(r.kept for r in got) == 300
 
 
+def test_lines_of_one_doc_id(spark):
+    """Texts under one doc_id lose their own copies only."""
+    shared = "a line that both of these texts hold"
+    rows = [(5, "first own line of alpha quite unlike\n" + shared), (5, shared + "\nsecond own line of gamma entirely different"), (5, None), (None, shared)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("extra") for c in ("text_id", "line", "key", "size", "hot", "keys", "raw")})
+    out = [r.text for r in lines.dedup_lines(d).collect()]
+    left = [x for t in out for x in (t or "").split("\n") if x]
+    assert len(out) == 4 and left.count(shared) == 1
+    assert {"first own line of alpha quite unlike", "second own line of gamma entirely different"} <= set(left)
+
+
+def test_long_lines_by_brute_force(spark):
+    """Edited long lines: links of similarity 0.8 or more are found as good as always, others never."""
+    rng = random.Random(19)
+    texts = []
+    for n in (30, 60, 120, 250, 600):
+        for _ in range(12):
+            w = prose(rng, n, 10**5).split()
+            texts.append(" ".join(w))
+            for share in (0.02, 0.05, 0.08):
+                texts.append(" ".join(f"e{rng.randrange(10**5)}" if rng.random() < share else x for x in w))
+    texts += ["a passage that very many lines share, word for word, " * 2 + prose(rng, 30, 10**5) for _ in range(40)]
+    got = {r.line_id: r.component_id for r in lines.near_lines(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    sets = {xxhash.xxh64_intdigest(t.encode(), 42): shingle_set(t) for t in texts}
+    sets = {(h - (1 << 64) if h >> 63 else h): s for h, s in sets.items()}
+
+    def near(a, b):
+        both = len(sets[a] & sets[b])
+        return both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+
+    want = components(sorted(sets), near)
+    assert set(got) == set(want) and sum(got[x] != want[x] for x in want) <= 0.02 * len(want)
+
+
 # --- top-k ----------------------------------------------------------------
 
 def test_top_k(spark):
