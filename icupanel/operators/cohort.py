@@ -120,10 +120,17 @@ def suspicion(abx: DataFrame, samples: DataFrame, abx_after: int = 72, sample_af
 
 
 def next_event(rows: DataFrame, events: DataFrame, at: str, time: str, strict: bool = True, to: str = "next_time") -> DataFrame:
-    """As-of join forward: the first of `events` after each row's time, null without one."""
-    e = events.select(F.col(ID).alias("_id"), F.col(time).alias("_t")).distinct()
-    later = (F.col("_t") > F.col(at)) if strict else (F.col("_t") >= F.col(at))
-    return rows.join(e, (F.col(ID) == F.col("_id")) & later, "left").groupBy(*rows.columns).agg(F.min("_t").alias(to))
+    """As-of join forward: the first of `events` after each row's time, null without one; repeated rows stay.
+
+    Rows and events of a stay stand in one order, latest first, so that one
+    running minimum gives each row its next event.
+    """
+    mine = rows.select(F.col(ID).alias("_id"), F.col(at).alias("_at"), F.lit(None).cast(events.schema[time].dataType).alias("_t"), F.lit(2 if strict else 0).alias("_kind"), F.struct(*rows.columns).alias("_row"))
+    theirs = events.select(F.col(ID).alias("_id"), F.col(time).alias("_at"), F.col(time).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"))
+    seen = Window.partitionBy("_id").orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.col("_id").isNotNull() & F.col("_at").isNotNull()
+    met = mine.unionByName(theirs).withColumn("_next", F.when(known, F.min("_t").over(seen)))
+    return met.where(F.col("_kind") != 1).select("_row.*", F.col("_next").alias(to))
 
 
 def compare_first(a: DataFrame, b: DataFrame, time: str) -> DataFrame:

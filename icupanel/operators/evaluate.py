@@ -20,9 +20,46 @@ ID, TIME = "stay_id", "stay_time"
 
 def thresholds(rows: DataFrame, score: str = "score", n: int = 100, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """(thres_no, thres): `n` even steps between two exact percentiles of the scores."""
-    q = rows.agg(F.percentile(score, F.array(F.lit(low), F.lit(high))).alias("q"))
+    return _even(quantiles(rows, score, (low, high)), n)
+
+
+def range_thresholds(rows: DataFrame, score: str = "score", n: int = 100) -> DataFrame:
+    """(thres_no, thres): `n` even steps between the least and the largest score."""
+    return _even(rows.agg(F.array(F.min(score).cast("double"), F.max(score).cast("double")).alias("q")), n)
+
+
+def peak_thresholds(rows: DataFrame, score: str = "score", n: int = 100) -> DataFrame:
+    """(thres_no, thres): the quantiles of the stays' highest scores at `n` even steps from 0 to 1."""
+    peaks = rows.groupBy(ID).agg(F.max(score).alias("peak"))
+    return quantiles(peaks, "peak", [k / (n - 1) for k in range(n)]).select(F.posexplode("q").alias("thres_no", "thres"))
+
+
+def quantiles(rows: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """One row with q, the exact interpolated quantiles; ranks are running sums of counts in ordered buckets, never one sort."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ranked = running_sums(counts, "v", ["n"])
+    place = [F.lit(float(s)) * (F.col("n_all") - 1) for s in shares]
+    at = lambda rank: F.min(F.when(F.col("n_sum") > rank, F.col("v")))
+    ends = ranked.agg(F.max("n_all").alias("n"), *[at(f(p)).alias(f"{k}{i}") for i, p in enumerate(place) for k, f in (("a", F.floor), ("b", F.ceil))])
+    part = [F.lit(float(s)) * (F.col("n") - 1) for s in shares]
+    return ends.select(F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (p - F.floor(p)) for i, p in enumerate(part)]).alias("q"))
+
+
+def _even(ends: DataFrame, n: int) -> DataFrame:
     step = (F.get("q", F.lit(1)) - F.get("q", F.lit(0))) / (n - 1)
-    return q.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("thres_no"), "q").select("thres_no", (F.get("q", F.lit(0)) + F.col("thres_no") * step).alias("thres"))
+    return ends.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("thres_no"), "q").select("thres_no", (F.get("q", F.lit(0)) + F.col("thres_no") * step).alias("thres"))
+
+
+def steps_reached(score: Column, cuts: Sequence[float], strict: bool = False) -> Column:
+    """How many of the rising `cuts` a score reaches, or exceeds if `strict`: a binary search written as nested conditions, so that it stays in generated code."""
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        cut = F.lit(float(cuts[mid]))
+        return F.when(score > cut if strict else score >= cut, among(mid + 1, hi)).otherwise(among(lo, mid))
+
+    return among(0, len(cuts))
 
 
 def threshold_list(grid: DataFrame) -> list[float]:
@@ -72,8 +109,7 @@ def patient_sweep(rows: DataFrame, cuts: Sequence[float], score: str = "score",
 
 def timepoint_sweep(rows: DataFrame, cuts: Sequence[float], score: str = "score", label: str = "label") -> DataFrame:
     """(thres_no, thres, tp_recall, tp_precision) over all rows with label and score; thresholds have to rise."""
-    values = F.array(*[F.lit(float(c)) for c in cuts])
-    met = F.size(F.filter(values, lambda c: F.col("_s") >= c))
+    met = steps_reached(F.col("_s"), cuts)
     known = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).alias("_s"), F.col(label).cast("int").alias("_l"))
     hist = known.select(met.alias("met"), "_l").groupBy("met").agg(F.sum("_l").alias("ones"), F.count("*").alias("n"))
     grid = rows.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(cuts)], "thres_no int, thres double")
@@ -84,6 +120,17 @@ def timepoint_sweep(rows: DataFrame, cuts: Sequence[float], score: str = "score"
     return sums.join(F.broadcast(whole), F.lit(True)).select("thres_no", "thres", safe(F.col("tp"), F.col("positives")).alias("tp_recall"), safe(F.col("tp"), F.col("alarms")).alias("tp_precision"))
 
 
+def utility_sweep(rows: DataFrame, cuts: Sequence[float], score: str = "score", utility: str = "utility") -> DataFrame:
+    """(thres_no, thres, utility): utility of all rows above each rising threshold, as a share of the best, the sum of all positive utilities."""
+    known = rows.where(F.col(score).isNotNull()).select(steps_reached(F.col(score), cuts, strict=True).alias("met"), F.col(utility).alias("u"))
+    hist = known.groupBy("met").agg(F.sum("u").alias("u"))
+    best = rows.agg(F.sum(F.greatest(F.col(utility), F.lit(0.0))).alias("best"))
+    grid = rows.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(cuts)], "thres_no int, thres double")
+    # at most one row a threshold on both sides
+    sums = grid.join(F.broadcast(hist), F.col("met") > F.col("thres_no"), "left").groupBy("thres_no", "thres").agg(F.coalesce(F.sum("u"), F.lit(0.0)).alias("u"))
+    return sums.join(F.broadcast(best), F.lit(True)).select("thres_no", "thres", F.try_divide("u", "best").alias("utility"))
+
+
 def score_counts(rows: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Counts at and above each distinct score: (…by, score, p, q at it, tp, fp, positives, negatives)."""
     known = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())

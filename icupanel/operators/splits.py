@@ -10,15 +10,18 @@ from icupanel.operators.ordered import hash_ranks
 ID = "stay_id"
 
 
+HASH_BITS = 52
+
+
 def hash_key(id: Column, seed: Column | int) -> Column:
-    """An arithmetic hash that any SQL engine can repeat."""
+    """The first 52 bits of the MD5 of seed and id: any SQL engine can repeat it, and another seed gives another order."""
     seed = F.lit(seed) if isinstance(seed, int) else seed
-    return (id.cast("long") * 1103515245 + 12345 + seed.cast("long") * 7919) % 2147483648
+    return F.conv(F.substring(F.md5(F.concat_ws("|", seed.cast("string"), id.cast("string"))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def ranked(stays: DataFrame, seed: Column | int, by: tuple[str, ...] = ("label",)) -> DataFrame:
     """`stays` with r, the rank of their hash within `by`, and n, the number there."""
-    return hash_ranks(stays, hash_key(F.col(ID), seed), ID, by)
+    return hash_ranks(stays, hash_key(F.col(ID), seed), ID, by, bits=HASH_BITS)
 
 
 def stratified_split(stays: DataFrame, test: float = 0.1, reps: int = 5, validation: float = 0.1, seed: int = 42) -> DataFrame:

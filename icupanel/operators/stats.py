@@ -30,10 +30,11 @@ def zscored(panel: DataFrame, stats: DataFrame, inverse: bool = False) -> DataFr
 
 
 def on_normalised(panel: DataFrame, stats: DataFrame, transforms: Sequence) -> DataFrame:
-    """New columns of `transforms` computed on a normalised copy, beside the original columns."""
-    copy = reduce(lambda df, f: f(df), transforms, zscored(panel, stats))
-    made = [c for c in copy.columns if c not in panel.columns]
-    return copy.select(ID, TIME, *made).join(panel, [ID, TIME])
+    """New columns of `transforms` computed on a normalised copy, beside the original columns, which are carried along in one pass."""
+    carried = panel.withColumn("_originals", F.struct(*panel.columns))
+    copy = reduce(lambda df, f: f(df), transforms, zscored(carried, stats))
+    made = [c for c in copy.columns if c not in carried.columns]
+    return copy.select("_originals.*", *made)
 
 
 def rows_per_stay(rows: DataFrame) -> DataFrame:
@@ -102,8 +103,9 @@ def code_flags(codes: DataFrame, code: str, groups: dict[str, Sequence[str]]) ->
     return ever(codes, {g: hit(p) for g, p in groups.items()})
 
 
-def grouped_std(rows: DataFrame, by: str, column: str) -> DataFrame:
-    return rows.groupBy(by).agg(F.count(column).alias("n"), F.stddev_samp(column).alias("std"))
+def grouped_std(rows: DataFrame, by: str, column: str, within: Column | None = None) -> DataFrame:
+    """Deviation of a column by flag, over the rows that lie `within` a window if one is given."""
+    return (rows if within is None else rows.where(within)).groupBy(by).agg(F.count(column).alias("n"), F.stddev_samp(column).alias("std"))
 
 
 def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int, by: Sequence[str] = ()) -> DataFrame:
@@ -112,6 +114,35 @@ def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int,
     return rows.where(F.col(column).isNotNull()).groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def split_distribution(panel: DataFrame, splits: DataFrame, column: str, label: str = "sep3") -> DataFrame:
+    """(rep, split, stays, mean_length, ones, zeros, n, mean, std) of a panel's stays in each split."""
+    per = panel.groupBy(ID).agg(
+        F.count("*").alias("length"), F.count_if(F.col(label) == 1).alias("ones"), F.count_if(F.col(label) == 0).alias("zeros"),
+        F.count(column).alias("n"), F.sum(column).alias("s"), F.sum(F.col(column) * F.col(column)).alias("ss"))
+    met = splits.select("rep", "split", F.col(ID).alias("_id")).join(per, F.col("_id") == F.col(ID))
+    sums = met.groupBy("rep", "split").agg(F.count("*").alias("stays"), F.avg("length").alias("mean_length"), *[F.sum(c).alias(c) for c in ("ones", "zeros", "n", "s", "ss")])
+    mean = F.try_divide("s", "n")
+    return sums.withColumn("mean", mean).withColumn("std", F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("ss") - F.col("s") * F.col("mean"), F.col("n") - 1)))).drop("s", "ss")
+
+
+def onset_times(stays: DataFrame, label: str = "label", onset: str = "onset", end: str = "outtime") -> DataFrame:
+    """(label, stays, mean_onset, first_onset, last_onset, mean_end): when cases set on and stays end, by label."""
+    return stays.groupBy(label).agg(
+        F.count("*").alias("stays"), F.avg(onset).alias("mean_onset"), F.min(onset).alias("first_onset"), F.max(onset).alias("last_onset"), F.avg(end).alias("mean_end"))
+
+
+def shape(rows: DataFrame) -> DataFrame:
+    """One row: rows, stays, columns and the largest and smallest number of rows of a stay."""
+    per = rows.groupBy(ID).agg(F.count("*").alias("n"))
+    return per.agg(F.sum("n").alias("rows"), F.count("*").alias("stays"), F.lit(len(rows.columns)).alias("columns"), F.max("n").alias("most"), F.min("n").alias("least"))
+
+
+def merged_rankings(tables: dict[str, DataFrame], key: str = "feature", value: str = "rank") -> DataFrame:
+    """Ranking tables side by side: a column of each table's `value` per key; null where a table lacks the key."""
+    each = [t.select(key, F.col(value).alias(name)) for name, t in tables.items()]
+    return reduce(lambda a, b: a.join(b, key, "full"), each)
+
+
 def missing_report(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     counts = rows.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     return counts.unpivot("rows", list(columns), "column", "missing").withColumn("share", F.try_divide("missing", "rows"))

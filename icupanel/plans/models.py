@@ -17,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icupanel.operators.splits import hash_key
+from icupanel.operators.splits import HASH_BITS, hash_key
 
 ID, TIME = "stay_id", "stay_time"
 KINDS = {
@@ -137,7 +137,7 @@ def path_signatures(panel: DataFrame, columns: Sequence[str], rows: int = 7, ord
 def random_predictions(panel: DataFrame, probabilities: Sequence[float], draws: int) -> DataFrame:
     """Each row once for each probability and draw, with a hashed coin as its prediction."""
     each = panel.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    coin = hash_key(F.col(ID) * 100003 + F.col(TIME), F.col("draw")) / 2147483648.0
+    coin = hash_key(F.concat_ws("_", ID, TIME), F.col("draw")) / float(1 << HASH_BITS)
     return each.withColumn("prediction", (coin < F.col("p")).cast("int"))
 
 

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from icupanel.functions import scores as S
+from icupanel.functions import targets as T
 
 from icupanel.operators import evaluate as E
 
 from icupanel.operators import splits as SP
 from icupanel.operators import stats as ST
-from icupanel.queries.base import CONCEPTS, LABELLED, PANEL, PREDICTIONS, STAYS, concepts, cuts_sql, labelled, panel, predictions, query, rounded, stays, table
+from icupanel.queries.base import CONCEPTS, LABELLED, PANEL, PREDICTIONS, STAYS, concepts, cuts_sql, filled, labelled, panel, predictions, query, rounded, stays, table
+from icupanel.queries.panels import UTILITIES
 
 N_CUTS = 100
 
 def _h(seed, id="stay_id"):
-    return f"({id} * 1103515245 + 12345 + ({seed}) * 7919) % 2147483648"
+    return f"CAST('0x' || substr(md5(CAST({seed} AS VARCHAR) || '|' || {id}), 1, 13) AS BIGINT)"
 
 SPLITS = STAYS + f""", dealt AS (SELECT stay_id, label, row_number() OVER (PARTITION BY label ORDER BY {_h(42)}, stay_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM stays),
 reps AS (SELECT stay_id, label, r <= ceil(n * 0.1::DOUBLE) AS test, n, CAST(rep AS INTEGER) AS rep FROM dealt, range(5) t(rep)),
@@ -161,6 +163,22 @@ def timepoint_sweep(spark, d):
     p = predictions(spark, d)
     return rounded(E.timepoint_sweep(p, _cuts(p)))
 
+_PEAKS = UTILITIES + PREDICTIONS[len(LABELLED):] + """, peaks AS (SELECT max(score) AS peak FROM predictions GROUP BY stay_id),
+cut AS (""" + " UNION ALL ".join(f"SELECT {k} AS thres_no, round((SELECT quantile_cont(peak, {k / 20}) FROM peaks), 6) AS thres" for k in range(21)) + """),
+u AS (SELECT score, u1 - u0 AS u FROM predictions JOIN utilities USING (stay_id, stay_time))
+"""
+
+@query("SELECT thres_no, thres, round(sum(CASE WHEN score > thres THEN u ELSE 0 END) / (SELECT sum(u) FROM u WHERE u > 0), 6) AS utility FROM cut, u GROUP BY ALL", _PEAKS)
+def utility_sweep(spark, d):
+    """Normalised utility at the quantiles of the stays' highest scores."""
+    f = T.with_utilities(filled(spark, d)).withColumn("score", F.coalesce(F.round(F.least(F.lit(1.0), F.col("temp_locf") / 300), 6), F.lit(0.0)))
+    cuts = [round(c, 6) for c in E.threshold_list(E.peak_thresholds(f, n=21))]
+    return rounded(E.utility_sweep(f, cuts))
+
+@query("SELECT CAST(k AS INTEGER) AS thres_no, round(a + k * (b - a) / 9, 6) AS thres FROM (SELECT min(score) AS a, max(score) AS b FROM predictions), range(10) t(k)", PREDICTIONS)
+def range_thresholds(spark, d):
+    return rounded(E.range_thresholds(predictions(spark, d), n=10))
+
 @query(", x AS (SELECT round(tp / nullif(p, 0), 6) AS r, round(coalesce(tp / nullif(alarms, 0), 0), 6) AS pr, thres FROM tp, pos), a AS (SELECT r, pr, thres FROM x WHERE r >= 0.8 ORDER BY r, pr, thres LIMIT 1), b AS (SELECT r, pr, thres FROM x WHERE r <= 0.8 ORDER BY r DESC, pr DESC, thres DESC LIMIT 1) "
        "SELECT round(b.pr + coalesce((0.8 - b.r) / nullif(a.r - b.r, 0), 0) * (a.pr - b.pr), 6) AS tp_precision, round(b.thres + coalesce((0.8 - b.r) / nullif(a.r - b.r, 0), 0) * (a.thres - b.thres), 6) AS thres FROM a, b", _TP)
 def metrics_at_recall(spark, d):
@@ -254,7 +272,7 @@ def sticky_alarm(spark, d):
 def first_treatment(spark, d):
     return _treatments(spark, d).groupBy("stay_id").agg(F.min("treat_time").alias("treated"))
 
-_COIN = f"CAST((({'(stay_id * 100003 + stay_time)'} * 1103515245 + 12345 + draw * 7919) % 2147483648) / 2147483648.0 < p AS INTEGER)"
+_COIN = f"""CAST({_h('draw', "stay_id || '_' || stay_time")}::DOUBLE / 4503599627370496.0::DOUBLE < p AS INTEGER)"""
 
 @query(f", e AS (SELECT p, CAST(draw AS INTEGER) AS draw, {_COIN} AS pred, label FROM predictions, (VALUES (0.1::DOUBLE), (0.5::DOUBLE)) v(p), range(3) t(draw)) SELECT p, draw, count(*) AS n, CAST(sum(pred) AS BIGINT) AS alarms, round(sum(pred * label) / sum(label), 6) AS recall FROM e GROUP BY ALL", PREDICTIONS)
 def random_predictions(spark, d):
@@ -382,6 +400,25 @@ def comorbidity_flags(spark, d):
 def grouped_std(spark, d):
     return rounded(ST.grouped_std(labelled(spark, d), "sep3", "hr_raw"))
 
+@query("SELECT sep3, count(hr_raw) AS n, round(stddev_samp(hr_raw), 6) AS std FROM labelled WHERE stay_time <= 24 OR sep3 = 1 GROUP BY sep3", LABELLED)
+def grouped_std_window(spark, d):
+    """Deviations in the first day, and from onset on."""
+    return rounded(ST.grouped_std(labelled(spark, d), "sep3", "hr_raw", (F.col("stay_time") <= 24) | (F.col("sep3") == 1)))
+
+@query(", per AS (SELECT stay_id, count(*) AS length, count(*) FILTER (WHERE sep3 = 1) AS ones, count(*) FILTER (WHERE sep3 = 0) AS zeros FROM labelled GROUP BY stay_id), v AS (SELECT rep, split, count(hr_raw) AS n, avg(hr_raw) AS mean, stddev_samp(hr_raw) AS std FROM splits JOIN labelled USING (stay_id) GROUP BY ALL), c AS (SELECT rep, split, count(*) AS stays, avg(length) AS mean_length, CAST(sum(ones) AS BIGINT) AS ones, CAST(sum(zeros) AS BIGINT) AS zeros FROM splits JOIN per USING (stay_id) GROUP BY ALL) "
+       "SELECT rep, split, stays, round(mean_length, 6) AS mean_length, ones, zeros, n, round(mean, 4) AS mean, round(std, 4) AS std FROM c JOIN v USING (rep, split)", SPLITS)
+def split_distribution(spark, d):
+    out = rounded(ST.split_distribution(labelled(spark, d), SP.stratified_split(stays(spark, d)), "hr_raw"))
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", "std")})
+
+@query("SELECT label, count(*) AS stays, round(avg(onset), 6) AS mean_onset, min(onset) AS first_onset, max(onset) AS last_onset, round(avg(outtime), 6) AS mean_end FROM stays GROUP BY label", STAYS)
+def onset_times(spark, d):
+    return rounded(ST.onset_times(stays(spark, d)))
+
+@query("SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS stays, 7 AS columns, max(n) AS most, min(n) AS least FROM (SELECT count(*) AS n FROM panel GROUP BY stay_id)", PANEL)
+def shape_report(spark, d):
+    return ST.shape(panel(spark, d))
+
 @query("SELECT label, CAST(least(greatest(floor((outtime - 600.0) / 12.0), 0), 9) AS INTEGER) AS bin, count(*) AS n FROM stays WHERE outtime IS NOT NULL GROUP BY ALL", STAYS)
 def length_histogram(spark, d):
     return ST.histogram(stays(spark, d), "outtime", 600, 720, 10, ["label"])
@@ -390,10 +427,10 @@ def length_histogram(spark, d):
 def missing_report(spark, d):
     return rounded(ST.missing_report(panel(spark, d), ["hr_raw", "temp_raw"]))
 
-@query(", a AS (SELECT concept, stay_id % 4 AS src, CASE WHEN count(CASE WHEN value > 480 AND stay_id % 4 = 1 OR stay_id % 4 <> 1 THEN value END) > 0 THEN 'yes' ELSE 'no' END AS has FROM concepts WHERE stay_id % 4 < 3 GROUP BY ALL) SELECT concept, " + ", ".join(f"coalesce(max(has) FILTER (WHERE src = {k}), 'unknown') AS \"{k}\"" for k in range(4)) + " FROM a GROUP BY concept", CONCEPTS)
+@query(", a AS (SELECT concept, stay_id % 4 AS src, CASE WHEN count(CASE WHEN value > 480 AND stay_id % 4 = 1 OR stay_id % 4 <> 1 THEN value END) > 0 THEN 'yes' ELSE 'no' END AS has FROM concepts GROUP BY ALL) SELECT concept, " + ", ".join(f"coalesce(max(has) FILTER (WHERE src = {k}), 'unknown') AS \"{k}\"" for k in range(5)) + " FROM a GROUP BY concept", CONCEPTS)
 def availability_matrix(spark, d):
-    c = concepts(spark, d).withColumn("src", F.col("stay_id") % 4).where("src < 3").withColumn("value", F.expr("CASE WHEN (value > 480 AND src = 1) OR src <> 1 THEN value END"))
-    return ST.availability(c, "src", [0, 1, 2, 3])
+    c = concepts(spark, d).withColumn("src", F.col("stay_id") % 4).withColumn("value", F.expr("CASE WHEN (value > 480 AND src = 1) OR src <> 1 THEN value END"))
+    return ST.availability(c, "src", [0, 1, 2, 3, 4])
 
 # --- attributions: a line item's price share is the attribution of its part's brand ---
 
@@ -413,6 +450,12 @@ def attribution_rank(spark, d):
 def top_features(spark, d):
     return rounded(ST.top_features(ST.attribution(_attr(spark, d))))
 
+@query("SELECT feature, " + ", ".join(f"CAST(max(rk) FILTER (WHERE run = {k}) AS INTEGER) AS run_{k}" for k in range(1, 5)) + " FROM ranks WHERE run <= 4 GROUP BY feature", _ATTR)
+def ranking_merge(spark, d):
+    """Rankings of four runs side by side."""
+    r = ST.attribution(_attr(spark, d))
+    return ST.merged_rankings({f"run_{k}": r.where(F.col("run") == k) for k in range(1, 5)})
+
 @query(", tail AS (SELECT *, max(stay_time) OVER (PARTITION BY run, stay_id) AS t FROM attr), p2 AS (SELECT run, feature, avg(abs(shap)) AS m FROM tail WHERE stay_time > t - 5 GROUP BY ALL) SELECT run, feature, round(m, 6) AS mean_abs, CAST(rank() OVER (PARTITION BY run ORDER BY m DESC) AS INTEGER) AS rank FROM p2", _ATTR)
 def attribution_tail(spark, d):
     return rounded(ST.attribution(_attr(spark, d), hours=5).drop("largest"))

@@ -13,6 +13,7 @@ from icupanel.functions import windows as W
 from icupanel.operators import cohort as C
 from icupanel.operators import panel as P
 from icupanel.operators import splits as SP
+from icupanel.operators import stats as ST
 from icupanel.plans import models as M
 from icupanel.queries.base import FILLED, PANEL, PREDICTIONS, RAW, STAYS, filled, labelled, panel, predictions, query, rounded, stays, table
 from icupanel.queries.evaluation import SPLITS
@@ -57,10 +58,15 @@ def one_hot_levels(spark, d):
     return schema.one_hot(stays(spark, d).select("stay_id", "segment"), "segment", ["BUILDING", "AUTOMOBILE", "MACHINERY", "Other"])
 
 
-@query("SELECT stay_id, stay_time, CASE WHEN temp_raw > 100 THEN 1.0 WHEN temp_raw <= 100 THEN 0.0 END::DOUBLE AS warm FROM panel WHERE stay_id = 1", PANEL)
+@query("SELECT stay_id, stay_time, CASE WHEN temp_raw > 100 THEN 1.0 WHEN temp_raw <= 100 THEN 0.0 END::DOUBLE AS warm FROM panel", PANEL)
 def bool_to_float(spark, d):
-    p = schema.where_equal(panel(spark, d), {"stay_id": 1}).select("stay_id", "stay_time", (F.col("temp_raw") > 100).alias("warm"))
-    return schema.bool_to_float(p)
+    return schema.bool_to_float(panel(spark, d).select("stay_id", "stay_time", (F.col("temp_raw") > 100).alias("warm")))
+
+
+@query("SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'")
+def where_equal(spark, d):
+    """Rows of one segment: the filter by key and value is the feature."""
+    return schema.where_equal(table(spark, d, "customer"), {"c_mktsegment": "BUILDING"}).select("c_custkey", "c_nationkey", "c_acctbal")
 
 
 @query("SELECT stay_id, stay_time, round(CASE WHEN n = 0 THEN NULL ELSE s / n END, 6) AS mean, coalesce(hr_raw > 100, false) AS fast, round(1 / (1 + exp(-coalesce(hr_raw, 0) / 100)), 6) AS sig, least(greatest(coalesce(hr_raw, 0) / 100 - 1, 0), 1) AS clipped, round((temp_locf - 2) / 24, 6) AS prob "
@@ -79,9 +85,9 @@ def recodes(spark, d):
                     S.parameter(F.col("code"), 1).alias("part1"), S.parameter(F.col("code"), 5).alias("part5"), F.regexp_replace("c_name", "#0*", " ").alias("label"))
 
 
-@query(", a AS (SELECT stay_id, list(temp_raw ORDER BY stay_time) AS v FROM panel WHERE stay_time < 30 GROUP BY stay_id) SELECT stay_id, CAST(len(v) AS INTEGER) AS n, CASE WHEN list_max(v) IS NULL THEN NULL ELSE list_max(v) > 0 END AS any_above, CASE WHEN list_max(v) IS NULL THEN NULL ELSE CAST(list_position(v, list_max(v)) - 1 AS BIGINT) END AS top_at FROM a", PANEL)
+@query(", a AS (SELECT stay_id, list(temp_raw ORDER BY stay_time) AS v FROM panel GROUP BY stay_id) SELECT stay_id, CAST(len(v) AS INTEGER) AS n, CASE WHEN list_max(v) IS NULL THEN NULL ELSE list_max(v) > 0 END AS any_above, CASE WHEN list_max(v) IS NULL THEN NULL ELSE CAST(list_position(v, list_max(v)) - 1 AS BIGINT) END AS top_at FROM a", PANEL)
 def array_functions(spark, d):
-    a = P.instances(panel(spark, d).where("stay_time < 30"), ["temp_raw"])
+    a = P.instances(panel(spark, d), ["temp_raw"])
     return a.select("stay_id", F.size("temp_raw").alias("n"), S.any_of(F.col("temp_raw")).alias("any_above"), S.arg_max(F.col("temp_raw")).alias("top_at"))
 
 
@@ -107,11 +113,11 @@ def prediction_documents(spark, d):
     return io.from_documents(back, ["model"])
 
 
-@query("SELECT stay_id, stay_time, round(hr_raw, 6) AS hr_raw FROM panel WHERE stay_id < 20", PANEL)
+@query("SELECT stay_id, stay_time, round(hr_raw, 6) AS hr_raw FROM panel", PANEL)
 def psv_files(spark, d):
     """Pipe-separated files, a stay each, written and read back."""
     path = scratch(spark, "psv")
-    io.write_psv(panel(spark, d).where("stay_id < 20"), path, ["hr_raw"])
+    io.write_psv(panel(spark, d), path, ["hr_raw"])
     return rounded(spark.read.csv(path, sep="|", header=True, schema="stay_time long, hr_raw double, stay_id long", nullValue="NaN").select("stay_id", "stay_time", "hr_raw"))
 
 
@@ -123,6 +129,47 @@ def panel_file_scan(spark, d):
     return rounded(io.load(spark, path, [1, 5, 7], "stay_time >= 10", ["stay_id", "stay_time", "temp_raw"]))
 
 
+@query("SELECT stay_id, stay_time, round(temp_raw, 6) AS temp_raw FROM panel", PANEL)
+def panel_columns(spark, d):
+    """A panel written and read back by its columns."""
+    path = scratch(spark, "columns")
+    io.write_panel(panel(spark, d), path)
+    return rounded(io.read_panel(spark, path, ["stay_id", "stay_time", "temp_raw"]))
+
+
+@query("SELECT stay_id, stay_time, round(hr_raw, 6) AS hr_raw FROM panel WHERE stay_id = 3", PANEL)
+def one_stay(spark, d):
+    """Random access to one stay of a written panel: the lookup is the feature."""
+    path = scratch(spark, "stay")
+    io.write_panel(panel(spark, d), path)
+    return rounded(io.one_stay(spark, path, 3).select("stay_id", "stay_time", "hr_raw"))
+
+
+@query("SELECT 'hr_raw' AS \"column\", round(avg(hr_raw), 6) AS mean, round(stddev_samp(hr_raw), 6) AS std FROM panel UNION ALL SELECT 'temp_raw', round(avg(temp_raw), 6), round(stddev_samp(temp_raw), 6) FROM panel", PANEL)
+def normaliser_file(spark, d):
+    """Means and deviations written as JSON and read back."""
+    path = scratch(spark, "normaliser")
+    io.write_normaliser(ST.normaliser(panel(spark, d), ["hr_raw", "temp_raw"]), path)
+    return rounded(io.read_normaliser(spark, path))
+
+
+@query("SELECT c_nationkey AS site, round(avg(floor(c_acctbal)) / 1024, 6) AS \"lambda\" FROM customer GROUP BY 1")
+def weight_file(spark, d):
+    """Weights by site written as JSON and read back."""
+    path = scratch(spark, "weights")
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("site")).agg((F.avg(F.floor("c_acctbal")) / 1024).alias("lambda"))
+    io.write_weights(c, path, ["site"])
+    return rounded(io.read_weights(spark, path, {"site": "long"}))
+
+
+@query("SELECT stay_id, stay_time, round(temp_raw, 6) AS temp_raw FROM panel", PANEL)
+def drop_categories(spark, d):
+    """A panel without its raw vitals but one: those of a category go, others stay."""
+    p = panel(spark, d)
+    kept = schema.drop_categories([c for c in p.columns if c != "temp_raw"], ["vitals"])
+    return rounded(p.select(*kept, "temp_raw"))
+
+
 @query("SELECT rep, split, count(*) AS n FROM splits GROUP BY ALL", SPLITS)
 def split_cache(spark, d):
     """Splits written partitioned and read back."""
@@ -149,7 +196,7 @@ def gather_runs(spark, d):
 def result_index(spark, d):
     path = scratch(spark, "results")
     io.write_json(table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("model")).agg(F.count("*").alias("n")).repartition(1), path)
-    return spark.read.json(path).select("model", F.col("_metadata.file_path").alias("file")).groupBy("model").agg(F.countDistinct("file").cast("int").alias("n_files"))
+    return io.index_results(spark, path, ["model"], whole_files=False).select("model", F.size("files").alias("n_files"))
 
 
 @query("SELECT stay_id, count(*) AS n, round(sum(hr_raw), 6) AS s FROM panel GROUP BY stay_id", PANEL)
@@ -166,11 +213,13 @@ def pipeline_steps(spark, d):
     return rounded(M.chain(labelled(spark, d), steps))
 
 
-@query("SELECT stay_id, count(*) AS n FROM panel GROUP BY stay_id", PANEL)
+@query(", x AS (SELECT stay_id, stay_time, coalesce(hr_locf, 0) - lag(coalesce(hr_locf, 0), 6, 0) OVER w AS a, coalesce(temp_locf, 0) - lag(coalesce(temp_locf, 0), 6, 0) OVER w AS b FROM filled WINDOW w AS (PARTITION BY stay_id ORDER BY stay_time)) "
+       "SELECT stay_id, stay_time, round(a, 6) AS s0, round(b, 6) AS s1, round(a * a / 2, 6) AS s00, round(b * b / 2, 6) AS s11, round(a * b, 6) AS cross_sum, round(a * a * a / 6, 6) AS s000, round(b * b * b / 6, 6) AS s111 FROM x", FILLED)
 def path_signature(spark, d):
-    """Signatures of two columns; the first level is the path's change over the look-back, the check is the row count."""
+    """Signatures of two columns: changes over the look-back, their powers, and the sum of the crossed terms, which is their product."""
     sig = M.path_signatures(filled(spark, d), ["hr_locf", "temp_locf"])
-    return sig.groupBy("stay_id").agg(F.count("signature_signature_13").alias("n"))
+    s = lambda i: F.col(f"signature_signature_{i}")
+    return rounded(sig.select("stay_id", "stay_time", s(0).alias("s0"), s(1).alias("s1"), s(2).alias("s00"), s(5).alias("s11"), (s(3) + s(4)).alias("cross_sum"), s(6).alias("s000"), s(13).alias("s111")))
 
 
 def _model_rows(spark, d):

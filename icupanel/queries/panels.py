@@ -163,16 +163,16 @@ def time_encoding(spark, d):
     return panel(spark, d).select("stay_id", "stay_time", *[F.round(c, 6).alias(f"{f}{i}") for c, (f, i) in zip(cols, [(f, i) for f in ("sin", "cos") for i in range(4)])])
 
 
-@query("SELECT stay_id, CAST(count(*) AS INTEGER) AS length, CAST(sum(stay_time) AS BIGINT) AS sum_times, CAST(count(hr_raw) AS BIGINT) AS n_hr, 800 AS padded FROM panel WHERE stay_time < 800 GROUP BY stay_id", PANEL)
+@query("SELECT stay_id, CAST(count(*) AS INTEGER) AS length, CAST(sum(stay_time) AS BIGINT) AS sum_times, CAST(count(hr_raw) AS BIGINT) AS n_hr, CAST(greatest(800, count(*)) AS INTEGER) AS padded FROM panel GROUP BY stay_id", PANEL)
 def instance_arrays(spark, d):
-    out = P.instances(panel(spark, d).where("stay_time < 800"), ["hr_raw"], length=800)
+    out = P.instances(panel(spark, d), ["hr_raw"], length=800)
     total = F.aggregate("stay_times", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
     return out.select("stay_id", "length", total.alias("sum_times"), F.size(F.filter("hr_raw", lambda x: x.isNotNull())).cast("long").alias("n_hr"), F.size("hr_raw").alias("padded"))
 
 
-@query(f"SELECT stay_id, stay_time, count(*) OVER w AS seen_rows, round(coalesce(sum(hr_raw) OVER w, 0), 6) AS seen_sum FROM panel WHERE stay_time < 48 WINDOW w AS ({_BY} ROWS UNBOUNDED PRECEDING)", PANEL)
+@query(f"SELECT stay_id, stay_time, count(*) OVER w AS seen_rows, round(coalesce(sum(hr_raw) OVER w, 0), 6) AS seen_sum FROM panel WINDOW w AS ({_BY} ROWS UNBOUNDED PRECEDING)", PANEL)
 def prefix_expand(spark, d):
-    out = P.prefixes(panel(spark, d).where("stay_time < 48"), "hr_raw")
+    out = P.prefixes(panel(spark, d), "hr_raw")
     total = F.aggregate("seen", F.lit(0.0), lambda a, x: a + F.when(F.isnan(x), 0.0).otherwise(x))
     return out.select("stay_id", "stay_time", F.size("seen").cast("long").alias("seen_rows"), F.round(total, 6).alias("seen_sum"))
 
@@ -338,13 +338,13 @@ def asof_next_event(spark, d):
     return C.next_event(abx.distinct(), samp, "abx_time", "samp_time")
 
 
-_CMP = _ABX + ", a AS (SELECT stay_id, min(abx_time) AS time_a FROM abx GROUP BY 1), b AS (SELECT stay_id, min(samp_time) AS time_b FROM samp WHERE samp_time % 2 = 0 GROUP BY 1), cmp AS (SELECT coalesce(a.stay_id, b.stay_id) AS stay_id, time_a, time_b, CASE WHEN time_b IS NULL THEN 'a' WHEN time_a IS NULL THEN 'b' ELSE 'both' END AS found_by, time_b - time_a AS difference FROM a FULL JOIN b ON a.stay_id = b.stay_id)\n"
+_CMP = _ABX + ", a AS (SELECT stay_id, min(abx_time) AS time_a FROM abx GROUP BY 1), b AS (SELECT stay_id, min(samp_time) AS time_b FROM samp GROUP BY 1), cmp AS (SELECT coalesce(a.stay_id, b.stay_id) AS stay_id, time_a, time_b, CASE WHEN time_b IS NULL THEN 'a' WHEN time_a IS NULL THEN 'b' ELSE 'both' END AS found_by, time_b - time_a AS difference FROM a FULL JOIN b ON a.stay_id = b.stay_id)\n"
 
 
 @query("SELECT * FROM cmp", _CMP)
 def definition_overlap(spark, d):
     abx, samp = _abx(spark, d)
-    return C.compare_first(abx.withColumnRenamed("abx_time", "t"), samp.where("samp_time % 2 = 0").withColumnRenamed("samp_time", "t"), "t")
+    return C.compare_first(abx.withColumnRenamed("abx_time", "t"), samp.withColumnRenamed("samp_time", "t"), "t")
 
 
 @query(", k AS (SELECT stay_id, abx_time + 2 AS onset, samp_time, abx_time FROM susp) SELECT cls, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, CAST(sum(known) AS BIGINT) AS sum_known FROM (SELECT CAST(samp_time <= onset AS INTEGER) + CAST(abx_time <= onset AS INTEGER) AS cls, greatest(onset, samp_time, abx_time) AS known FROM k) GROUP BY cls", _SUSP)

@@ -19,7 +19,9 @@ VARIABLES = {
 }
 STATIC = ["age", "female", "weight", "height"]
 BASELINE = ["sofa", "qsofa", "sirs", "news", "mews", "sresp", "scoag", "sliver", "scardio", "scns", "srenal"]
-CHALLENGE = "hr o2sat temp sbp map dbp resp etco2 be bicar fio2 ph pco2 ast bun alp ca cl crea bildir glu lact mg phos k bili tnt hct hgb ptt wbc fgn plt".split()
+CHALLENGE = "hr o2sat temp sbp map dbp resp etco2 be bicar fio2 ph pco2 ast bun alp ca cl crea bildir glu lact mg phos k bili tri hct hgb ptt wbc fgn plt".split()
+
+CHALLENGE_STATIC = ["age_static", "female_static"]
 
 KEYS = ["stay_id", "stay_time"]
 LABEL = "sep3"
@@ -95,7 +97,7 @@ def drop_categories(columns: list[str], categories: list[str], suffixes: tuple[s
 
 def challenge_set(columns: list[str]) -> list[str]:
     """Columns of the challenge's variables, with derived columns, keys and label."""
-    heads = tuple(f"{v}_" for v in CHALLENGE)
+    heads = (*(f"{v}_" for v in CHALLENGE), *CHALLENGE_STATIC)
     return [c for c in columns if c in KEYS or c == LABEL or "_derived" in c or c.startswith(heads)]
 
 

@@ -120,9 +120,9 @@ def flatten_runs(runs: DataFrame, keys: Sequence[str], splits: Sequence[str]) ->
     return runs.select(*keys, F.explode(F.array(*parts)).alias("r")).select(*keys, "r.*")
 
 
-def index_results(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Keys of result documents and the files that hold them."""
-    return spark.read.json(path, multiLine=True).select(*keys, F.col("_metadata.file_path").alias("file")).groupBy(*keys).agg(F.sort_array(F.collect_set("file")).alias("files"))
+def index_results(spark: SparkSession, path: str, keys: Sequence[str], whole_files: bool = True) -> DataFrame:
+    """Keys of result documents and the files that hold them: a document a file, or a line each without `whole_files`."""
+    return spark.read.json(path, multiLine=whole_files).select(*keys, F.col("_metadata.file_path").alias("file")).groupBy(*keys).agg(F.sort_array(F.collect_set("file")).alias("files"))
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -131,6 +131,24 @@ def write_json(df: DataFrame, path: str) -> None:
     df.withColumns(clean).write.json(path)
 
 
+def write_normaliser(stats: DataFrame, path: str) -> None:
+    """(column, mean, std) as JSON lines; a column without values has null for both."""
+    write_json(stats.select("column", "mean", "std"), path)
+
+
+def read_normaliser(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path, schema="column string, mean double, std double")
+
+
+def write_weights(weights: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """The prevalence weight (`lambda`) of each key, as JSON lines."""
+    write_json(weights.select(*keys, "lambda"), path)
+
+
+def read_weights(spark: SparkSession, path: str, keys: dict[str, str]) -> DataFrame:
+    return spark.read.json(path, schema=", ".join(f"{k} {t}" for k, t in keys.items()) + ", lambda double")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True)
 

@@ -142,3 +142,34 @@ def test_documents_are_bounded(spark):
     assert docs.count() > 10 and docs.agg(F.max(F.size("ids"))).first()[0] < 40
     back = io.from_documents(docs, ["model"])
     assert sorted(back.select(*df.columns).collect()) == sorted(df.collect())
+
+
+def test_repeats_and_draws_differ(spark):
+    """Other seeds give other sets, as unlike as random ones; large ids don't overflow."""
+    from icupanel.operators import splits
+    from icupanel.plans.models import random_predictions
+
+    base = (1 << 62) - 3000
+    stays = spark.createDataFrame([(base + i, i % 5 == 0) for i in range(1000)], "stay_id long, label boolean").selectExpr("stay_id", "cast(label as int) as label")
+    sets = {}
+    for r in splits.stratified_split(stays).where("split = 'validation'").collect():
+        sets.setdefault(r.rep, set()).add(r.stay_id)
+    assert len(sets) == 5 and all(len(sets[a] & sets[b]) < 40 for a in sets for b in sets if a < b)
+    draws = {}
+    for r in splits.subsample(stays, prevalence=0.3, draws=4).where("label = 0").collect():
+        draws.setdefault(r.draw, set()).add(r.stay_id)
+    n = len(draws[0])
+    assert len(draws) == 4 and all(abs(len(draws[a] & draws[b]) - n * n / 800) < 40 for a in draws for b in draws if a < b)
+    rows = stays.selectExpr("stay_id", "cast(7 as long) as stay_time")
+    coins = random_predictions(rows, [0.5], 2).groupBy("stay_id").agg({"prediction": "sum"}).collect()
+    assert 400 < sum(r[1] == 1 for r in coins) < 600
+
+
+def test_next_event_keeps_repeated_rows(spark):
+    from icupanel.operators.cohort import next_event
+
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 5, "a"), (1, 9, "b"), (2, 1, "c"), (1, None, "d"), (None, 3, "e")], "stay_id long, at long, tag string")
+    events = spark.createDataFrame([(1, 5), (1, 7), (2, 0), (None, 4)], "stay_id long, t long")
+    got = lambda strict: sorted((r.tag, r.next_time) for r in next_event(rows, events, "at", "t", strict).collect())
+    assert got(True) == [("a", 7), ("a", 7), ("b", None), ("c", None), ("d", None), ("e", None)]
+    assert got(False)[:2] == [("a", 5), ("a", 5)]
