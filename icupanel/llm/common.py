@@ -75,8 +75,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return labels
 
 
-def bucket_components(met: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, rounds: int = 2, block: int = 64) -> DataFrame:
-    """(node, component) of all links among ids that share a key; no pair is left out.
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after further links: components of the components that the links connect."""
+    if labels is None:
+        return connected_components(links)
+    own = lambda c: labels.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}"))
+    ends = links.join(own("a"), F.col("a") == F.col("na"), "left").join(own("b"), F.col("b") == F.col("nb"), "left")
+    joined = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    up = joined.select(F.col("node").alias("from"), F.col("component").alias("to"))
+    known = labels.join(up, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    return durable(known.unionByName(joined.join(labels.select("node"), "node", "left_anti")))
+
+
+def bucket_components(met: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float, rounds: int = 2, block: int = 64, narrow: bool = False) -> DataFrame:
+    """(node, component) of all links among ids that share a key; no pair is left out unless `narrow`.
 
     `met` has (id, n, key), n the size of the id's set; `verify` takes distinct
     pairs (a, b) and returns those that are links.  Pairs whose sizes alone
@@ -85,45 +97,70 @@ def bucket_components(met: DataFrame, verify: Callable[[DataFrame], DataFrame],
     by few pairs; then all pairs of a bucket that are still in different
     components are verified, in blocks of about `block` members, so that no task
     holds a whole large bucket.
+
+    With `narrow`, members of a bucket of more than `block` that is still mixed
+    after those rounds meet only where they share a second key as well, first two
+    others each, then all.  It is for keys of a signature, of which similar sets
+    share several, and keeps the pairs of a crowd from growing with its square.
     """
     bucket = Window.partitionBy("key")
     ends = met.select("id", "n", "key", F.min("id").over(bucket).alias("lo"), F.max("id").over(bucket).alias("hi"))
     met = durable(ends.where("lo < hi").select("id", "n", "key").distinct())
     close = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - F.lit(1e-9)
-    found = tried = labels = None
-    for turn in range(rounds + 1):
+    tried = labels = None
+
+    def mixed(met: DataFrame, turn: int) -> DataFrame:
+        """Members of buckets of several components, with c, their own, and two of the bucket's members, in another order each turn."""
         now = met.withColumn("c", F.col("id"))
         if labels is not None:
             own = labels.select(F.col("node").alias("id"), "component")
             now = met.join(own, "id", "left").select("id", "n", "key", F.coalesce("component", "id").alias("c"))
-        # a member of the first and one of the last component, in another order each time
         by = F.struct(F.xxhash64("c", F.lit(turn)).alias("order"), "c", "id", "n")
         ends = now.groupBy("key").agg(F.min(by).alias("one"), F.max(by).alias("two"), F.count("*").alias("size")).where("one.c <> two.c")
-        live = now.join(ends, "key")
-        if labels is not None:  # components only grow, so other buckets are done
-            live = durable(live)
-            met = live.select("id", "n", "key")
-        if turn < rounds:
-            each = live.select("id", "n", "c", F.explode(F.array("one", "two")).alias("p")).where(F.col("c") != F.col("p.c"))
-            pairs = each.where(close(F.col("n"), F.col("p.n"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-        else:
-            blocks = F.ceil(F.col("size") / block).cast("int")
-            cut = live.select("id", "n", "c", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("x"))
-            dealt = cut.select("id", "n", "c", "key", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
-            dealt = dealt.select("id", "n", "c", "key", "x", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
-            l, r = dealt.alias("l"), dealt.alias("r")
-            same = (F.col("l.key") == F.col("r.key")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
-            ours = (F.col("l.x") != F.col("r.x")) | (F.col("l.i") == F.col("l.j"))
-            pairs = l.join(r, same & ours & (F.col("l.id") < F.col("r.id")) & (F.col("l.c") != F.col("r.c")) & close(F.col("l.n"), F.col("r.n")))
-            pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+        return now.join(ends, "key")
+
+    def with_hubs(live: DataFrame) -> DataFrame:
+        each = live.select("id", "n", "c", F.explode(F.array("one", "two")).alias("p")).where(F.col("c") != F.col("p.c"))
+        return each.where(close(F.col("n"), F.col("p.n"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+
+    def all_pairs(live: DataFrame) -> DataFrame:
+        blocks = F.ceil(F.col("size") / block).cast("int")
+        cut = live.select("id", "n", "c", "key", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("x"))
+        dealt = cut.select("id", "n", "c", "key", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+        dealt = dealt.select("id", "n", "c", "key", "x", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+        l, r = dealt.alias("l"), dealt.alias("r")
+        same = (F.col("l.key") == F.col("r.key")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+        ours = (F.col("l.x") != F.col("r.x")) | (F.col("l.i") == F.col("l.j"))
+        pairs = l.join(r, same & ours & (F.col("l.id") < F.col("r.id")) & (F.col("l.c") != F.col("r.c")) & close(F.col("l.n"), F.col("r.n")))
+        return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal tried, labels
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = durable(pairs)
         if labels is not None and pairs.isEmpty():
-            continue
+            return
         tried = pairs if tried is None else tried.unionByName(pairs)
-        more = durable(verify(pairs))
-        found = more if found is None else found.unionByName(more)
-        labels = connected_components(found)
+        labels = _merged(labels, durable(verify(pairs)))
+
+    for turn in range(rounds):
+        live = mixed(met, turn)
+        if labels is not None:  # components only grow, so other buckets are done
+            live = durable(live)
+            met = live.select("id", "n", "key")
+        settle(with_hubs(live))
+    live = durable(mixed(met, rounds))
+    if not narrow:
+        settle(all_pairs(live))
+        return labels
+    settle(all_pairs(live.where(F.col("size") <= block)))
+    crowd = live.where(F.col("size") > block).select("id", "n", "key")
+    second = met.select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    finer = crowd.join(second, (F.col("id") == F.col("_id")) & (F.col("key") != F.col("_key")))
+    met = durable(finer.select("id", "n", F.xxhash64(F.least("key", "_key"), F.greatest("key", "_key")).alias("key")).distinct())
+    for turn in (rounds + 1, rounds + 2):
+        settle(with_hubs(mixed(met, turn)))
+    settle(all_pairs(durable(mixed(met, rounds + 3))))
     return labels
