@@ -290,7 +290,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         index = spark.sparkContext.broadcast(Index(items, shingle, similarity=similarity, total=n, held_by=known))
 
         def match(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):  # bounds the words held at once
                 found = _match(index.value, batch.column(1).to_pylist(), words_a_chunk)
                 keep = pa.array([d for d, *_ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(

@@ -189,6 +189,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES))))
+        rows = np.zeros((len(texts), len(FEATURES)))
+        for i, t in enumerate(texts):
+            rows[i] = features(t)
+        return pd.Series(model.score(rows))
 
     return docs.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
