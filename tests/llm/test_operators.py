@@ -533,6 +533,41 @@ def test_top_k(spark):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
     assert topk.top_k(d.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
     assert topk.top_k(d.limit(0), F.col("vec_id") == 0).count() == 0
+    crowded = d.withColumns({n: F.lit("extra") for n in ("deal", "ids", "vector", "width", "score", "query_id", "rank")})
+    assert Counter(topk.top_k(crowded, F.col("vec_id") % 50 == 0, index_block=100).collect()) == Counter(got)
+
+
+def test_top_k_of_null_and_equal_vectors(spark):
+    schema = "vec_id long, embedding array<float>"
+    nothing = spark.createDataFrame([(0, None), (1, [None]), (None, [1.0])], schema)
+    assert topk.top_k(nothing, F.lit(True)).count() == 0
+    same = spark.createDataFrame([(i, [0.25, -0.5]) for i in (0, 3, 3, 2, 9, 7)] + [(50, None), (0, [0.25, -0.5])], schema)
+    got = topk.top_k(same, F.col("vec_id") % 50 == 0, k=3).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 2, 20480), (0, 2, 3, 20480), (0, 3, 3, 20480)]
+
+
+@pytest.mark.parametrize("bits", [1, 3, 6, 8])
+def test_impact_order_stops_on_proof(bits):
+    """Exact at every coarseness; queries with few heavy components read a part of the postings, and never more than those with an impact."""
+    rng = np.random.default_rng(bits)
+    n, dims = 1500, 24
+    block = np.floor(rng.normal(0, 40, (n, dims)) * rng.uniform(0, 3, dims)).astype(np.int64)
+    block[:, 3] = 7
+    block[100:160] = block[100]
+    ids = rng.permutation(n).astype(np.int64)
+    ids[:5] = ids[5]
+    postings = topk.invert(block, bits)
+    assert postings.counts.sum() == n * dims
+    for i in range(0, n, 30):
+        query = block[i] * (rng.random(dims) < (0.2 if i % 60 else 1))
+        found = topk.search(block, ids, postings, query, ids[i], 5, few=8, turn=1)
+        scores = block @ query
+        want = sorted((-s, v) for s, v in zip(scores.tolist(), ids.tolist()) if v != ids[i])[:5]
+        assert list(zip((-found.scores).tolist(), found.ids.tolist())) == want
+        assert found.read <= n * np.count_nonzero(query) and found.rescored >= 5
+    heavy = np.zeros(dims, np.int64)
+    heavy[5], heavy[6] = -1000, 1
+    assert topk.search(block, ids, postings, heavy, -1, 5, few=8, turn=1).read < 2 * n or bits == 1
 
 
 # --- columns --------------------------------------------------------------
