@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icupanel.llm import chat, decontaminate, licenses, lines, mixing, quality, sharding, simhash, tokens, topk
+from icupanel.llm import chat, decontaminate, licenses, lines, merkle, mixing, quality, sharding, simhash, tokens, topk
 from icupanel.llm.common import table
 
 SHARDS = 40
@@ -59,10 +60,21 @@ def op10_topk_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = merkle.leaf_digest([lowered if c == "text" else F.col(c) for c in merkle.FIELDS])
+    proved = merkle.manifest(docs, {"tampered": F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, tampered)})
+    siblings = F.array_join(F.transform(F.arrays_zip("left", "right"), lambda s: F.concat(s["left"], s["right"])), "")
+    out = proved.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), merkle.folded(F.coalesce("tampered", "leaf"), F.col("left"), F.col("right")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_rotation, op2_license_scan, op3_quality_gam, op4_poisson_mix, op5_token_counts, op6_histogram_shards, op7_simhash_gph, op8_decontaminate, op9_fuzzy_lines,
-        op10_topk_impact)}
+        op10_topk_impact, op12_merkle_manifest)}
 
 
 ORACLE = {
@@ -138,6 +150,50 @@ WITH whole AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT * FROM ranked WHERE rank <= 5""",
+    "op12_merkle_manifest": """
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS k, i AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM steps WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS step FROM steps WHERE k = 8
+), texts AS (
+  SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: xor(a // 256, step[xor(a, b) % 256 + 1])), 4294967295) % 5 = 0 AS tamper
+  FROM documents, crc
+), leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN tamper THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS tampered FROM texts
+), rows AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS row, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS gid,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves
+), up AS (
+  SELECT 0 AS level, gid, place, CAST(leaf AS VARCHAR) AS digest, count(*) OVER (PARTITION BY gid) AS n FROM rows
+  UNION ALL
+  SELECT level + 1, gid, place // 16, sha256(string_agg(digest, '' ORDER BY place)), any_value((n + 15) // 16) FROM up WHERE n > 1 GROUP BY level, gid, place // 16
+), over AS (
+  SELECT 0 AS level, gid AS place, digest, count(*) OVER () AS n FROM up WHERE n = 1
+  UNION ALL
+  SELECT level + 1, place // 16, sha256(string_agg(digest, '' ORDER BY place)), any_value((n + 15) // 16) FROM over WHERE n > 1 GROUP BY level, place // 16
+), runs AS (
+  SELECT 0 AS tree, level, gid, place // 16 AS run, list(digest ORDER BY place) AS own FROM up WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT 1, level, 0, place // 16, list(digest ORDER BY place) FROM over WHERE n > 1 GROUP BY ALL
+), paths AS (
+  SELECT row, tree, level, own[1 : spot % 16] AS l, own[spot % 16 + 2 : 16] AS r
+  FROM (SELECT row, r.tree, r.level, own, run, CASE WHEN r.tree = 0 THEN place ELSE rows.gid END // CAST(pow(16, r.level) AS BIGINT) AS spot
+        FROM rows JOIN runs r ON (r.tree = 0 AND r.gid = rows.gid) OR r.tree = 1) WHERE spot // 16 = run
+), sides AS (
+  SELECT row, row_number() OVER (PARTITION BY row ORDER BY tree, level) AS k, array_to_string(l, '') AS l, array_to_string(r, '') AS r FROM paths
+), fold AS (
+  SELECT row, 0 AS k, CAST(coalesce(tampered, leaf) AS VARCHAR) AS digest FROM rows
+  UNION ALL
+  SELECT f.row, s.k, sha256(s.l || f.digest || s.r) FROM fold f JOIN sides s ON s.row = f.row AND s.k = f.k + 1
+), ends AS (
+  SELECT row, max_by(digest, k) AS folded_root FROM fold GROUP BY row
+), proofs AS (
+  SELECT row, sha256(string_agg(l || r, '' ORDER BY k)) AS proof_sha256 FROM sides GROUP BY row
+)
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = t.digest AS verified
+FROM rows JOIN (SELECT gid, digest FROM up WHERE n = 1) s USING (gid) CROSS JOIN (SELECT digest FROM over WHERE n = 1) t JOIN ends USING (row) LEFT JOIN proofs USING (row)""",
 }
 
 
