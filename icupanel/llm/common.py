@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, **options: str) -> DataFrame:
     """`df` computed once, as Parquet in the shared folder, and read back; removed when the session's JVM ends.
 
     Lost executors take nothing of it with them.  Unlike a checkpoint it doesn't
@@ -34,7 +34,7 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icupanel.llm import chat, decontaminate, licenses, lines, merkle, mixing, quality, sharding, simhash, tokens, topk
+from icupanel.llm import alignment, chat, decontaminate, licenses, lines, merkle, mixing, quality, sharding, simhash, tokens, topk
 from icupanel.llm.common import table
 
 SHARDS = 40
@@ -71,10 +71,17 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    place = public_tokenizers.path
+    return alignment.alignment(table(spark, sf_dir, "documents"), a_path or place("byte_bpe_50k.json"), b_path or place("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_rotation, op2_license_scan, op3_quality_gam, op4_poisson_mix, op5_token_counts, op6_histogram_shards, op7_simhash_gph, op8_decontaminate, op9_fuzzy_lines,
-        op10_topk_impact, op12_merkle_manifest)}
+        op10_topk_impact, op12_merkle_manifest, op13_token_alignment)}
 
 
 ORACLE = {
