@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icupanel.llm import alignment, chat, decontaminate, licenses, lines, merkle, mixing, quality, sharding, simhash, tokens, topk
+from icupanel.llm import alignment, chat, decontaminate, licenses, lines, merkle, mixing, quality, secrets, sharding, simhash, tokens, topk
 from icupanel.llm.common import table
 
 SHARDS = 40
@@ -60,6 +60,14 @@ def op10_topk_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    n = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.BASE)]
+    return found.select("doc_id", *n, F.sha2(secrets.shown(base), 256).alias("base_sha256"), secrets.shown(F.col("spans")).alias("spans"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
@@ -81,7 +89,11 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str, a_path: str | None =
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_rotation, op2_license_scan, op3_quality_gam, op4_poisson_mix, op5_token_counts, op6_histogram_shards, op7_simhash_gph, op8_decontaminate, op9_fuzzy_lines,
-        op10_topk_impact, op12_merkle_manifest, op13_token_alignment)}
+        op10_topk_impact, op11_secret_links, op12_merkle_manifest, op13_token_alignment)}
+
+
+def _sql(pattern: str) -> str:
+    return pattern.replace("'", "''")
 
 
 ORACLE = {
@@ -157,6 +169,32 @@ WITH whole AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT * FROM ranked WHERE rank <= 5""",
+    "op11_secret_links": f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), matches AS (
+  {" UNION ALL ".join(f"SELECT row, {k} AS kind, regexp_extract_all(text, '{_sql(p)}') AS whole, regexp_extract_all(text, '{_sql(p)}', {g}) AS body, regexp_split_to_array(text, '{_sql(p)}') AS gap FROM texts" for k, (p, g) in enumerate([*secrets.PATTERNS.values(), (secrets.BREAK, 0)]))}
+), each AS (
+  SELECT row, kind, unnest(range(1, len(whole) + 1)) AS n, unnest(whole) AS whole, unnest(body) AS body, unnest(gap[: len(whole)]) AS gap FROM matches WHERE len(whole) > 0
+), placed AS (
+  SELECT row, kind, stop - length(whole) AS start, stop FROM (SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY row, kind ORDER BY n) AS stop FROM each)
+  WHERE CASE kind WHEN 0 THEN length(body) >= 6 WHEN 3 THEN length(body) >= 3 WHEN 4 THEN regexp_matches(body, '[0-9]') AND regexp_matches(body, '[a-z]') AND regexp_matches(body, '[A-Z]') ELSE true END
+), scoped AS (
+  SELECT *, count(*) FILTER (WHERE kind = 6) OVER (PARTITION BY row ORDER BY start, kind, stop) AS scope FROM placed
+), near AS (
+  SELECT p.row, p.kind, p.start, p.stop, coalesce(bool_or(q.kind < 3 AND q.start < p.stop AND p.start < q.stop), false) AS inside,
+         coalesce(bool_or(close AND q.kind IN (1, 3)), false) AS names, coalesce(bool_or(close AND q.kind IN (0, 2, 4)), false) AS keys, coalesce(bool_or(close AND q.kind = 5), false) AS places
+  FROM (SELECT p, q, q.start - p.stop <= 200 AND p.start - q.stop <= 200 AS close FROM scoped p LEFT JOIN scoped q ON p.row = q.row AND p.scope = q.scope AND q.kind < 6 AND (p.start, p.kind, p.stop) <> (q.start, q.kind, q.stop) WHERE p.kind < 6)
+  GROUP BY ALL
+), kept AS (
+  SELECT * FROM near WHERE kind < 3 OR (NOT inside AND CASE kind WHEN 3 THEN keys WHEN 4 THEN names OR places ELSE names AND keys END)
+), shown AS (
+  SELECT row, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+         string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans
+  FROM (SELECT *, ['assign', 'access', 'hex', 'identifier', 'secret', 'endpoint'][kind + 1] || ':' || start || ':' || stop AS span FROM kept) GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN shown USING (row)""",
     "op12_merkle_manifest": """
 WITH RECURSIVE steps AS (
   SELECT i, 0 AS k, i AS c FROM range(256) t(i)
