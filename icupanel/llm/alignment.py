@@ -10,6 +10,7 @@ equal parts of a task's documents are encoded and aligned once.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -49,6 +50,7 @@ def vocabularies(a_path: str, b_path: str) -> Vocabularies:
     from sentencepiece import SentencePieceProcessor
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its own core only
     added_tokens(a_path)  # raises for other kinds than byte-level BPE
     a, b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
     a.encode_special_tokens = True
@@ -131,24 +133,28 @@ def _shown(n: int, last: str) -> np.ndarray:
     return np.array([f"{i}," for i in range(n)] + [f"{i}{last}" for i in range(n)], object)
 
 
-def align_parts(parts: Sequence[str], v: Vocabularies, run: int = 64) -> dict[str, Part]:
+def align_parts(parts: Sequence[str], v: Vocabularies, run: int = 64, at_once: int = 64) -> dict[str, Part]:
     """The alignment of distinct parts, each beginning with a space.
 
-    Parts are encoded in runs of `run`; those that end with white space, which
+    Parts are encoded in runs of `run`, `at_once` runs at a time; those that end with white space, which
     only a text's last part does, are encoded alone, as are those of runs that a
     tokenizer doesn't give back.
     """
     plain = [p for p in parts if not p[-1].isspace()]
-    runs = [plain[k : k + run] for k in range(0, len(plain), run)] + [[p] for p in parts if p[-1].isspace()]
+    waiting = [plain[k : k + run] for k in range(0, len(plain), run)] + [[p] for p in parts if p[-1].isspace()]
     out: dict[str, Part] = {}
-    while runs:
+    while waiting:
+        runs, waiting = waiting[-at_once:], waiting[:-at_once]
         a_ids, b_ids, good = _encoded(["".join(r) for r in runs], v)
         kept = [k for k, ok in enumerate(good) if ok]
         own = [p for k in kept for p in runs[k]]
         if own:
             out |= zip(own, _aligned([a_ids[k] for k in kept], [b_ids[k] for k in kept], np.cumsum([len(p.encode()) for p in own]), v), strict=True)
-        out |= {r[0]: LOST for r, ok in zip(runs, good, strict=True) if not ok and len(r) == 1}
-        runs = [[p] for r, ok in zip(runs, good, strict=True) if not ok and len(r) > 1 for p in r]
+        for r, ok in zip(runs, good, strict=True):
+            if not ok and len(r) == 1:
+                out[r[0]] = LOST
+            elif not ok:
+                waiting += [[p] for p in r]
     return out
 
 
@@ -222,7 +228,7 @@ def _align_batches(batches: Iterator[pa.RecordBatch], v: Vocabularies, memo: Mem
                 ["doc_id", "n_a", "n_b", "n_groups", "groups", "links"])
 
 
-def aligned(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", known: int = 300_000, length: int = 64) -> DataFrame:
+def aligned(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", known: int = 100_000, length: int = 64) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, groups, links) for every row of `docs`.
 
     A encodes a space and the text, B the text, to which it adds that space.
