@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def beside(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of `docs` in the struct `row`, beside `columns`; so no name of theirs can clash. `select("row.*")` gives them back."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`; a temporary one only where that is unset and all runs on one machine."""
     sc = spark.sparkContext

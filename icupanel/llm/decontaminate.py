@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icupanel.llm.common import durable
+from icupanel.llm.common import beside, durable
 
 BITS, BLOCKS, BLOCK_BITS = 128, 8, 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -327,7 +327,13 @@ def _match(index: Index, texts: list[str | None], words_a_chunk: int) -> list[tu
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """`docs` without those that hold a benchmark item; rows are told apart by doc_id and text."""
+    """`docs` without those that hold a benchmark item, as `find_passages` has it; rows are told apart by doc_id and text.
+
+    Null and empty texts stay; repeated rows stay or go together; a null doc_id
+    is an id like any other.  An empty table of documents or of items changes
+    nothing.  Columns of `docs` come out as they are, whatever their names.
+    """
     marked = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("hash")).alias("key"), F.col(text).alias("text"))
-    found = find_passages(marked, benchmark, "key", **options).select(F.col("key.id").alias("_id"), F.col("key.hash").alias("_hash")).distinct()
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_hash")), "left_anti")
+    found = find_passages(marked, benchmark, "key", **options).select(F.col("key.id").alias("found_id"), F.col("key.hash").alias("found_hash")).distinct()
+    whole = beside(docs, id=F.col(doc_id), hash=F.xxhash64(F.col(text)))
+    return whole.join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("hash") == F.col("found_hash")), "left_anti").select("row.*")

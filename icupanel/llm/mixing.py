@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from icupanel.llm.common import durable
+from icupanel.llm.common import beside, durable
 
 #: A mean above this is drawn as a sum of equal parts, each with its own hash, as exp(-mean) would vanish.
 LARGEST_MEAN = 256.0
@@ -62,7 +62,8 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, bucket
     hash that orders the whole mix, rising within each output file.  Buckets
     whose texts are all empty keep the rate 1.  A null bucket is a bucket; a
     null doc_id hashes as the word null; repeated rows draw the same count.  An
-    empty table gives no rows.  Columns of those three names are replaced.
+    empty table gives no rows.  Columns of those three names are replaced,
+    all others come out as they are.
 
     The bucket table is broadcast after counting that it has at most
     `most_buckets` rows; with more it is joined by a shuffle.
@@ -70,12 +71,12 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, bucket
     names = [c for c in docs.columns if c not in ("n_copies", "copy_no", "shuffle_key")]
     table = durable(distribution(rates(docs, bucket, text, weights, temperature, budget)).select(F.col("bucket").alias("_bucket"), F.col("draws").alias("_draws"), F.col("cdf").alias("_cdf")))
     small = table.limit(most_buckets + 1).count() <= most_buckets
-    joined = docs.select(*names).join(F.broadcast(table) if small else table, F.col(bucket).eqNullSafe(F.col("_bucket")))
-    draws = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda i: uniform(seed, i, F.col(doc_id)))
+    joined = beside(docs.select(*names), id=F.col(doc_id), bucket=F.col(bucket)).join(F.broadcast(table) if small else table, F.col("bucket").eqNullSafe(F.col("_bucket")))
+    draws = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda i: uniform(seed, i, F.col("id")))
     more = joined.withColumn("_u", draws)
     counted = more.withColumn("n_copies", F.expr("aggregate(_u, 0, (n, u) -> n + size(filter(_cdf, c -> c <= u)))"))
-    copies = counted.where("n_copies > 0").select(*names, "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy_no"))
-    key = F.concat_ws("|", F.lit(f"order{seed}"), F.col("copy_no").cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
-    keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"))
+    copies = counted.where("n_copies > 0").select("row", "id", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy_no"))
+    key = F.concat_ws("|", F.lit(f"order{seed}"), F.col("copy_no").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    keyed = copies.select("row.*", "n_copies", "copy_no", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("shuffle_key"))
     # the text as well, as rows of one doc_id or without any share a shuffle_key
     return keyed.repartition("shuffle_key", F.xxhash64(text)).sortWithinPartitions("shuffle_key")

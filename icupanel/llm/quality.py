@@ -159,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: s
     """Fit on about `fit_rows` labelled documents outside the held-out fifth, chosen by hash.
 
     This sample is the only one: it bounds what reaches the driver to fit_rows
-    rows of some dozens of numbers, whatever the corpus.
+    rows of some dozens of numbers, whatever the corpus.  Of several texts with
+    one doc_id that with the smallest hash counts, of several labels the largest.
     """
     known = (
         labels.select(F.col("doc_id").alias("id"), F.col(target).cast("double").alias("y"))
@@ -168,7 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: s
     n = known.count()
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = known.where(share < fit_rows / max(n, 1)).limit(2 * fit_rows)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
+    met = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
+    # one text an id, so that no more rows than ids reach the driver
+    rows = met.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icupanel.llm.common import connected_components, durable
+from icupanel.llm.common import beside, connected_components, durable
 
 BITS = 64
 SEED = 42
@@ -243,8 +243,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """`docs` without those whose component is named by another document.
 
-    Rows without a doc_id stay: they can't be told apart by id.
+    Rows without a doc_id stay: they can't be told apart by id.  An empty table
+    stays empty; columns come out as they are, whatever their names.
     """
     marks = near_duplicates(docs, doc_id, **options)
-    others = marks.where("component_id != doc_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, F.col(doc_id) == F.col("_other"), "left_anti")
+    others = marks.where("component_id != doc_id").select(F.col("doc_id").alias("other")).distinct()
+    return beside(docs, id=F.col(doc_id)).join(others, F.col("id") == F.col("other"), "left_anti").select("row.*")
