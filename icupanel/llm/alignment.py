@@ -109,9 +109,9 @@ def shared_cuts(a: np.ndarray, b: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray
     return np.sort(np.concatenate([none, *done_a])), np.sort(np.concatenate([none, *done_b]))
 
 
-#: Of a part: tokens of A (negative where a tokenizer doesn't give back the part) and of B, groups, their text as in a1,a2|b1;a3|b2; and the links' int32 codes, A's id * size of B + B's id.
-Part = tuple[int, int, int, str, bytes]
-LOST: Part = (-1 << 40, 0, 0, "", b"")
+#: Of a part: tokens of A (negative where a tokenizer doesn't give back the part), groups as in a1,a2|b1;a3|b2; and the links' int32 codes, A's id * size of B + B's id.
+Part = tuple[int, str, bytes]
+LOST: Part = (-1 << 40, "", b"")
 
 
 def _encoded(texts: list[str], v: Vocabularies) -> tuple[list[list[int]], list[list[int]], list[bool]]:
@@ -174,11 +174,10 @@ def _aligned(a_ids: list[list[int]], b_ids: list[list[int]], stops: np.ndarray,
     in_order[np.arange(len(a)) + np.repeat(b_cut, a_stop - a_cut)] = _shown(len(v.a_bytes), "|")[a + a_last * len(v.a_bytes)]
     in_order[np.arange(len(b)) + np.repeat(a_stop, b_stop - b_cut)] = _shown(len(v.b_bytes), ";")[b + b_last * len(v.b_bytes)]
     shown = in_order.tolist()
-    g_at = np.searchsorted(a_cut, a_at)
     l_at = np.concatenate([[0], np.searchsorted(ends, stops) + 1]) * 4
-    at = np.stack([a_at, b_at, g_at, l_at], 1).tolist()
-    for (a0, b0, g0, l0), (a1, b1, g1, l1) in zip(at, at[1:]):
-        yield (a1 - a0, b1 - b0, g1 - g0, "".join(shown[a0 + b0 : a1 + b1]), links[l0:l1])
+    at = np.stack([a_at, a_at + b_at, l_at], 1).tolist()
+    for (a0, t0, l0), (a1, t1, l1) in zip(at, at[1:]):
+        yield (a1 - a0, "".join(shown[t0:t1]), links[l0:l1])
 
 
 class Memo:
@@ -217,9 +216,11 @@ def _align_batches(batches: Iterator[pa.RecordBatch], v: Vocabularies, memo: Mem
             part = memo.add(distinct, v).__getitem__
             rows = []
             for own in parts:
-                n_a, n_b, n_groups, groups, links = zip(*map(part, own)) if own else ((),) * 5
-                whole = sum(n_a) >= 0
-                rows.append((sum(n_a), sum(n_b), sum(n_groups), "".join(groups)[:-1], b"".join(links)) if whole else (0, 0, 0, "", b""))
+                n_a, groups, links = zip(*map(part, own)) if own else ((), (), ())
+                n, text, codes = sum(n_a), "".join(groups), b"".join(links)
+                n_groups = text.count(";")
+                # in a group of x and y tokens x + y - 1 pairs overlap
+                rows.append((n, len(codes) // 4 + n_groups - n, n_groups, text[:-1], codes) if n >= 0 else (0, 0, 0, "", b""))
             memo.drop({p for p in distinct if len(p) > length})
             n_a, n_b, n_groups, groups, links = zip(*rows)
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in links])]).astype(np.int32)
@@ -228,7 +229,7 @@ def _align_batches(batches: Iterator[pa.RecordBatch], v: Vocabularies, memo: Mem
                 ["doc_id", "n_a", "n_b", "n_groups", "groups", "links"])
 
 
-def aligned(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", known: int = 100_000, length: int = 64) -> DataFrame:
+def aligned(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", known: int = 200_000, length: int = 64) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, groups, links) for every row of `docs`.
 
     A encodes a space and the text, B the text, to which it adds that space.
