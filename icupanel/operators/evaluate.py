@@ -34,15 +34,19 @@ def peak_thresholds(rows: DataFrame, score: str = "score", n: int = 100) -> Data
     return quantiles(peaks, "peak", [k / (n - 1) for k in range(n)]).select(F.posexplode("q").alias("thres_no", "thres"))
 
 
-def quantiles(rows: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
-    """One row with q, the exact interpolated quantiles; ranks are running sums of counts in ordered buckets, never one sort."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    ranked = running_sums(counts, "v", ["n"])
+def quantiles(rows: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(…by, q), the exact interpolated quantiles: one row, or one a group that has values.
+
+    Ranks are running sums of counts in ordered buckets, in every group for
+    itself: no sort and no buffer holds the values of a whole group.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ranked = running_sums(counts, "v", ["n"], by)
     place = [F.lit(float(s)) * (F.col("n_all") - 1) for s in shares]
     at = lambda rank: F.min(F.when(F.col("n_sum") > rank, F.col("v")))
-    ends = ranked.agg(F.max("n_all").alias("n"), *[at(f(p)).alias(f"{k}{i}") for i, p in enumerate(place) for k, f in (("a", F.floor), ("b", F.ceil))])
+    ends = ranked.groupBy(*by).agg(F.max("n_all").alias("n"), *[at(f(p)).alias(f"{k}{i}") for i, p in enumerate(place) for k, f in (("a", F.floor), ("b", F.ceil))])
     part = [F.lit(float(s)) * (F.col("n") - 1) for s in shares]
-    return ends.select(F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (p - F.floor(p)) for i, p in enumerate(part)]).alias("q"))
+    return ends.select(*by, F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (p - F.floor(p)) for i, p in enumerate(part)]).alias("q"))
 
 
 def _even(ends: DataFrame, n: int) -> DataFrame:
@@ -76,12 +80,12 @@ def records(rows: DataFrame, score: str = "score") -> DataFrame:
 
 def first_alarms(rows: DataFrame, cuts: Sequence[float], score: str = "score", strict: bool = False) -> DataFrame:
     """(stay_id, thres_no, alarm_time) for every threshold a stay reaches."""
-    values = F.array(*[F.lit(float(c)) for c in cuts])
-    hit = (lambda s, c: s > c) if strict else (lambda s, c: s >= c)
-    new = F.filter(
-        F.transform(values, lambda c, i: F.struct(i.alias("thres_no"), c.alias("thres"))),
-        lambda t: hit(F.col("top"), t["thres"]) & (F.col("was").isNull() | ~hit(F.col("was"), t["thres"])))
-    return records(rows, score).select(ID, F.col(TIME).alias("alarm_time"), F.explode(new).alias("t")).select(ID, F.col("t.thres_no").cast("int").alias("thres_no"), "alarm_time")
+    order = sorted(range(len(cuts)), key=lambda k: cuts[k])
+    rising = [cuts[k] for k in order]
+    reached = records(rows, score).select(ID, F.col(TIME).alias("alarm_time"), steps_reached(F.col("was"), rising, strict).alias("low"), steps_reached(F.col("top"), rising, strict).alias("high"))
+    new = reached.where("high > low").select(ID, F.explode(F.sequence("low", F.col("high") - 1)).alias("k"), "alarm_time")
+    number = F.col("k") if order == list(range(len(cuts))) else F.get(F.array(*map(F.lit, order)), F.col("k"))
+    return new.select(ID, number.cast("int").alias("thres_no"), "alarm_time")
 
 
 def stay_truth(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -131,18 +135,18 @@ def utility_sweep(rows: DataFrame, cuts: Sequence[float], score: str = "score",
     return sums.join(F.broadcast(best), F.lit(True)).select("thres_no", "thres", F.try_divide("u", "best").alias("utility"))
 
 
-def score_counts(rows: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Counts at and above each distinct score: (…by, score, p, q at it, tp, fp, positives, negatives)."""
+def score_counts(rows: DataFrame, score: str, label: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Counts at and above each distinct score: (…by, score, p, q at it, tp, fp, positives, negatives); a row counts `weight` times."""
     known = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    one = F.col(label).cast("long")
-    per = known.groupBy(*by, F.col(score).alias("score")).agg(F.sum(one).alias("p"), F.sum(1 - one).alias("q"))
+    one, times = F.col(label).cast("long"), F.lit(1) if weight is None else F.col(weight)
+    per = known.groupBy(*by, F.col(score).alias("score")).agg(F.sum(one * times).alias("p"), F.sum((1 - one) * times).alias("q"))
     names = {"p_sum": "tp", "q_sum": "fp", "p_all": "positives", "q_all": "negatives"}
     return running_sums(per, "score", ["p", "q"], by, descending=True).withColumnsRenamed(names)
 
 
-def auroc_auprc(rows: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+def auroc_auprc(rows: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """AUROC and AUPRC by trapezoids and average precision by steps over distinct scores; (0,0) and, for precision, (0,1) come first."""
-    c = score_counts(rows, score, label, by)
+    c = score_counts(rows, score, label, by, weight)
     tp, fp, p, q = (F.col(x) for x in ("tp", "fp", "p", "q"))
     dx, dy = F.try_divide(q, "negatives"), F.try_divide(p, "positives")
     tpr, precision = F.try_divide(tp, "positives"), F.try_divide(tp, tp + fp)

@@ -72,6 +72,38 @@ def resample_controls(stays: DataFrame, case_share: float, seed: int = 5) -> Dat
     return each.select(F.concat_ws("_", ID, "copy").alias("unit_id"), ID, "label")
 
 
+def bootstrap_draws(stays: DataFrame, draws: int, seed: int = 11, by: tuple[str, ...] = ()) -> DataFrame:
+    """(…by, draw, stay_id, times): each draw takes as many stays as there are, with replacement; stays that a draw misses have no row in it.
+
+    With `by`, every stratum is drawn from for itself.  Place j of a draw takes
+    the stay whose rank in its stratum is a hash of seed, draw and j, so the
+    multiplicities are multinomial; only picks, two numbers each, are counted,
+    and they meet the stays by rank.  Null stay ids aren't drawn.
+    """
+    known = stays.where(F.col(ID).isNotNull()).select(*by, ID).distinct()
+    placed = ranked(known, seed, by)  # r from 1 to n in each stratum
+    each = placed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    pick = F.pmod(hash_key(F.concat_ws("|", *[F.col(c).cast("string") for c in ("draw", "r", *by)]), seed + 1), F.col("n")) + 1
+    picks = each.groupBy(*[F.col(c).alias(f"_p_{c}") for c in by], "draw", pick.alias("_rank")).agg(F.count("*").alias("times"))
+    on = F.col("_rank") == F.col("r")
+    for c in by:
+        on = on & F.col(f"_p_{c}").eqNullSafe(F.col(c))
+    return placed.join(picks, on).select(*by, "draw", ID, "times")
+
+
+def bootstrap_units(draws: DataFrame) -> DataFrame:
+    """Draws as (unit_id, draw, stay_id), a unit for each time a stay was taken, for `bootstrap`."""
+    copies = draws.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return copies.select(F.concat_ws("_", "draw", ID, "copy").alias("unit_id"), "draw", ID)
+
+
+def bootstrap_means(values: DataFrame, draws: DataFrame, columns: list[str]) -> DataFrame:
+    """(draw, n, …columns): the means of stay-level values in each draw, weighted by multiplicity; no stay is repeated."""
+    met = draws.select("draw", F.col(ID).alias("_id"), "times").join(values, F.col("_id") == F.col(ID))
+    mean = lambda c: F.try_divide(F.sum(F.col(c) * F.col("times")), F.sum(F.when(F.col(c).isNotNull(), F.col("times"))))
+    return met.groupBy("draw").agg(F.sum("times").alias("n"), *[mean(c).alias(c) for c in columns])
+
+
 def bootstrap(rows: DataFrame, draws: DataFrame) -> DataFrame:
     """Rows repeated once for each draw of their stay, under the draw's own unit_id."""
     return draws.select("unit_id", F.col(ID).alias("_id")).join(rows, F.col("_id") == F.col(ID)).drop("_id")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from icupanel.functions import probability
+from icupanel.operators.evaluate import quantiles
 from icupanel.operators.ordered import running_sums
 
 ID, TIME = "stay_id", "stay_time"
@@ -58,9 +60,16 @@ def imbalance(panel: DataFrame, label: str = "sep3") -> DataFrame:
     """(group, stays, mean, std, median of lengths, mean share of labelled ones) for all stays, cases and controls."""
     per = panel.groupBy(ID).agg(F.count("*").alias("length"), F.max(label).alias("case"), F.avg(label).alias("ones"))
     group = F.explode(F.array(F.lit("all"), F.when(F.col("case") == 1, "case").otherwise("control")))
-    return per.withColumn("group", group).groupBy("group").agg(
-        F.count("*").alias("stays"), F.avg("length").alias("mean_length"), F.stddev_samp("length").alias("std_length"),
-        F.percentile("length", F.lit(0.5)).alias("median_length"), F.avg("ones").alias("mean_ones"))
+    each = per.withColumn("group", group)
+    means = each.groupBy("group").agg(F.count("*").alias("stays"), F.avg("length").alias("mean_length"), F.stddev_samp("length").alias("std_length"), F.avg("ones").alias("mean_ones"))
+    return _with_quantiles(means, each, "length", {"median_length": 0.5}, ["group"]).select("group", "stays", "mean_length", "std_length", "median_length", "mean_ones")
+
+
+def _with_quantiles(groups: DataFrame, rows: DataFrame, column: str, shares: dict[str, float], by: Sequence[str]) -> DataFrame:
+    """`groups`, one row for each `by`, with exact quantiles of a column of `rows`; null where a group has no value."""
+    q = quantiles(rows, column, list(shares.values()), by).select(*[F.col(c).alias(f"_q_{c}") for c in by], F.col("q").alias("_q"))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by], F.lit(True))
+    return groups.join(q, on, "left").select(*groups.columns, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(shares)])
 
 
 def imbalance_factor(rows: DataFrame, label: str) -> DataFrame:
@@ -71,8 +80,8 @@ def imbalance_factor(rows: DataFrame, label: str) -> DataFrame:
 def median_iqr(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(…by, variable, n, q25, median, q75), exact."""
     long = rows.unpivot(list(by), list(columns), "variable", "v")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy(*by, "variable").agg(F.count("v").alias("n"), q.alias("q")).select(*by, "variable", "n", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "median", "q75"))])
+    n = long.groupBy(*by, "variable").agg(F.count("v").alias("n"))
+    return _with_quantiles(n, long, "v", {"q25": 0.25, "median": 0.5, "q75": 0.75}, [*by, "variable"])
 
 
 def counts_per_stay(rows: DataFrame, columns: Sequence[str], upto: int = 24) -> DataFrame:
@@ -103,6 +112,26 @@ def code_flags(codes: DataFrame, code: str, groups: dict[str, Sequence[str]]) ->
     return ever(codes, {g: hit(p) for g, p in groups.items()})
 
 
+def mapped_codes(codes: DataFrame, code: str, mapping: DataFrame, prefix: str = "prefix", group: str = "group") -> DataFrame:
+    """`codes` with the group of the longest prefix in `mapping` that begins each code (up to its first comma); null where none does.
+
+    Distinct codes are spread into their prefixes and joined on equality, so the
+    map may be of any size.  A prefix with several groups gives the first of
+    them by name; null and empty prefixes match nothing.
+    """
+    head = F.trim(F.split(F.col(code), ",")[0])
+    known = mapping.where(F.length(prefix) > 0).groupBy(F.col(prefix).alias("_prefix")).agg(F.min(group).alias(group))
+    heads = codes.select(head.alias("_head")).where(F.length("_head") > 0).distinct()
+    spread = heads.withColumn("_size", F.explode(F.sequence(F.lit(1), F.length("_head")))).withColumn("_part", F.substring("_head", F.lit(1), F.col("_size")))
+    best = spread.join(known, F.col("_part") == F.col("_prefix")).groupBy("_head").agg(F.max_by(group, "_size").alias(group))
+    return codes.withColumn("_code", head).join(best, F.col("_code") == F.col("_head"), "left").drop("_code", "_head")
+
+
+def group_flags(codes: DataFrame, code: str, mapping: DataFrame, groups: Sequence[str], prefix: str = "prefix", group: str = "group") -> DataFrame:
+    """Per stay, whether it has a code of each group by `mapped_codes`."""
+    return ever(mapped_codes(codes, code, mapping, prefix, group), {g: F.col(group) == g for g in groups})
+
+
 def grouped_std(rows: DataFrame, by: str, column: str, within: Column | None = None) -> DataFrame:
     """Deviation of a column by flag, over the rows that lie `within` a window if one is given."""
     return (rows if within is None else rows.where(within)).groupBy(by).agg(F.count(column).alias("n"), F.stddev_samp(column).alias("std"))
@@ -114,6 +143,33 @@ def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int,
     return rows.where(F.col(column).isNotNull()).groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def _in_splits(panel: DataFrame, splits: DataFrame, columns: Sequence[str]) -> DataFrame:
+    met = splits.select("rep", "split", F.col(ID).alias("_id")).join(panel.select(ID, *columns), F.col("_id") == F.col(ID))
+    return met.unpivot(["rep", "split"], list(columns), "variable", "v")
+
+
+def split_quantiles(panel: DataFrame, splits: DataFrame, columns: Sequence[str], shares: dict[str, float]) -> DataFrame:
+    """(rep, split, variable, n, …shares): exact quantiles of features in each split."""
+    long = _in_splits(panel, splits, columns)
+    by = ["rep", "split", "variable"]
+    return _with_quantiles(long.groupBy(*by).agg(F.count("v").alias("n")), long, "v", shares, by)
+
+
+def split_histograms(panel: DataFrame, splits: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """(rep, split, variable, bin, low, high, n, share): features in each split over even bins between the whole panel's least and largest value.
+
+    The ends are two numbers a feature; a feature of one value has one bin.
+    """
+    ends = panel.agg(*[f(c).cast("double").alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    spans = panel.sparkSession.createDataFrame([(c, ends[f"lo{i}"], ends[f"hi{i}"]) for i, c in enumerate(columns)], "_variable string, _low double, _high double")
+    long = _in_splits(panel, splits, columns).where(F.col("v").isNotNull()).join(F.broadcast(spans), F.col("variable") == F.col("_variable"))
+    width = (F.col("_high") - F.col("_low")) / bins
+    bin_ = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("_low")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
+    by = ["rep", "split", "variable"]
+    n = long.groupBy(*by, bin_.alias("bin"), (F.col("_low") + bin_ * width).alias("low"), (F.col("_low") + (bin_ + 1) * width).alias("high")).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+
+
 def split_distribution(panel: DataFrame, splits: DataFrame, column: str, label: str = "sep3") -> DataFrame:
     """(rep, split, stays, mean_length, ones, zeros, n, mean, std) of a panel's stays in each split."""
     per = panel.groupBy(ID).agg(
@@ -156,8 +212,7 @@ def availability(concepts: DataFrame, source: str, sources: Sequence[str]) -> Da
 
 def percentile_interval(rows: DataFrame, column: str, by: Sequence[str] = (), level: float = 95) -> DataFrame:
     tail = (100 - level) / 200
-    q = F.percentile(column, F.array(F.lit(tail), F.lit(1 - tail)))
-    return rows.groupBy(*by).agg(F.avg(column).alias("mean"), q.alias("q")).select(*by, "mean", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+    return _with_quantiles(rows.groupBy(*by).agg(F.avg(column).alias("mean")), rows, column, {"low": tail, "high": 1 - tail}, by)
 
 
 def gaussian_interval(rows: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -226,6 +281,49 @@ def paired_tests(rows: DataFrame, a: str, b: str) -> DataFrame:
     return t.join(w, F.lit(True)).withColumn("z", z).withColumn("p", normal_tail(F.col("z"))).drop("m")
 
 
+def paired_tests_by(rows: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """(…by, n, mean_difference, t, p_t, m, w, p_w): paired t test and Wilcoxon's signed-rank test of each group, both two-sided.
+
+    m counts the differences that aren't zero, which alone are ranked; ties share
+    their mean rank.  p_w is exact up to 50 differences without ties, else by the
+    normal distribution with the variance corrected for ties.  Rows with a null
+    value are left out; p_t is null for fewer than two rows and for differences
+    that are all equal.
+    """
+    d = rows.select(*by, (F.col(a) - F.col(b)).cast("double").alias("d")).where("d is not null")
+    per = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("_s"))
+    t = F.when(F.col("_s") > 0, F.col("mean_difference") / (F.col("_s") / F.sqrt("n")))
+    tested = per.withColumn("t", t).withColumn("p_t", probability.t_two_sided(F.col("t"), F.col("n") - 1))
+    sized = d.where("d <> 0").groupBy(*by, F.abs("d").alias("size")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("ups"))
+    ranked = running_sums(sized, "size", ["k"], by).withColumn("rank", F.col("k_sum") - (F.col("k") - 1) / 2)
+    k, m = F.col("k"), F.col("m")
+    sums = ranked.groupBy(*[F.col(c).alias(f"_w_{c}") for c in by]).agg(F.sum(F.col("ups") * F.col("rank")).alias("w"), F.sum("k").alias("m"), F.sum(k * k * k - k).alias("_ties"))
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in by], F.lit(True))
+    both = tested.join(sums, on, "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    z = (F.col("w") - m * (m + 1) / 4) / F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("_ties") / 48)
+    p_w = F.when((F.col("_ties") == 0) & (m <= 50), probability.signed_rank_two_sided(F.col("w"), m)).otherwise(probability.normal_two_sided(z))
+    return both.withColumn("p_w", p_w).select(*by, "n", "mean_difference", "t", "p_t", "m", F.coalesce("w", F.lit(0.0)).alias("w"), "p_w")
+
+
+def ks_tests(rows: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(…by, statistic, n_a, n_b, p): two-sample Kolmogorov-Smirnov tests, p by the limit distribution; `group` is boolean, true for a.
+
+    A group with one sample only has no statistic.
+    """
+    g = F.col(group).cast("int")
+    counts = rows.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, value).agg(F.sum(g).alias("a"), F.sum(1 - g).alias("b"))
+    c = running_sums(counts, value, ["a", "b"], by)
+    d = c.select(*by, F.abs(F.try_divide("a_sum", "a_all") - F.try_divide("b_sum", "b_all")).alias("d"), "a", "b")
+    out = d.groupBy(*by).agg(F.max("d").alias("statistic"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    return out.withColumn("p", probability.ks_two_sided(F.col("statistic"), F.col("n_a"), F.col("n_b")))
+
+
+def first_values(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(stay_id, …keys, value): the first value that isn't null; of several at one time the smallest."""
+    known = rows.where(F.col(value).isNotNull())
+    return known.groupBy(ID, *keys).agg(F.min_by(value, F.struct(TIME, value)).alias(value))
+
+
 def ks_two_sample(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Largest distance of the two groups' distribution functions; `group` is boolean."""
     g = F.col(group).cast("int")

@@ -14,9 +14,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from icupanel.functions import targets
+from icupanel.operators import evaluate
 from icupanel.operators.splits import HASH_BITS, hash_key
 
 ID, TIME = "stay_id", "stay_time"
@@ -134,6 +136,35 @@ def path_signatures(panel: DataFrame, columns: Sequence[str], rows: int = 7, ord
     return per_patient(panel.select(ID, TIME, *columns), made, f"{ID} long, {TIME} long, " + ", ".join(f"{n} double" for n in names))
 
 
+def random_utility(panel: DataFrame, probabilities: Sequence[float], draws: int, label: str = "sep3", shift: int = 0, weight: float = 1.0, seed: int = 0) -> DataFrame:
+    """(p, draw, alarms, observed, normalised): utility of alarms raised at random with probability p, one curve a draw.
+
+    A row has one uniform number a draw and is an alarm for every p above it, so
+    rows aren't multiplied by p: they are counted by the first p that reaches
+    them, and the counts summed over the rising p.  Normalised as in
+    `targets.normalised_utility`.
+    """
+    ps = sorted(set(map(float, probabilities)))
+    rows = targets.with_utilities(panel, label, shift, weight=weight)
+    onset = F.col("onset_position") + shift
+    n = F.count("*").over(Window.partitionBy(ID))
+    ideal = onset.isNotNull() & F.col("position").between(F.greatest(onset - 12, F.lit(0)), F.least(onset + 3, n - 1))
+    known = rows.withColumn("best", F.when(ideal, F.col("u1")).otherwise(F.col("u0"))).where(F.col(label).isNotNull())
+    coin = hash_key(F.concat_ws("_", ID, TIME), F.col("draw") + seed) / float(1 << HASH_BITS)
+    each = known.select(ID, TIME, "u1", "u0", "best", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    counted = each.groupBy("draw", evaluate.steps_reached(coin, ps).alias("step")).agg(
+        F.count("*").alias("n"), F.sum(F.col("u1") - F.col("u0")).alias("gain"), F.sum("u0").alias("silent"), F.sum("best").alias("best"))
+    # at most one row a draw and probability from here on
+    whole = Window.partitionBy("draw")
+    totals = counted.groupBy("draw").agg(F.sum("silent").alias("inaction"), F.sum("best").alias("ideal"))
+    grid = totals.select("draw", "inaction", "ideal", F.posexplode(F.array(*map(F.lit, ps))).alias("k", "p")).alias("g")
+    met = grid.join(counted.select(F.col("draw").alias("_draw"), F.col("step").alias("_step"), "n", "gain"), (F.col("draw") == F.col("_draw")) & (F.col("k") == F.col("_step")), "left")
+    upto = whole.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    observed = F.col("inaction") + F.coalesce(F.sum("gain").over(upto), F.lit(0.0))
+    out = met.select("p", "draw", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("alarms"), observed.alias("observed"), "inaction", "ideal")
+    return out.select("p", "draw", "alarms", "observed", F.try_divide(F.col("observed") - F.col("inaction"), F.col("ideal") - F.col("inaction")).alias("normalised"))
+
+
 def random_predictions(panel: DataFrame, probabilities: Sequence[float], draws: int) -> DataFrame:
     """Each row once for each probability and draw, with a hashed coin as its prediction."""
     each = panel.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from icupanel.queries import evaluation, jobs, panels
+from icupanel.queries import evaluation, jobs, panels, resampling
 from icupanel.queries.base import ORACLE, QUERIES
 
-__all__ = ["evaluation", "jobs", "oracle_sql", "panels", "queries"]
+__all__ = ["evaluation", "jobs", "oracle_sql", "panels", "queries", "resampling"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

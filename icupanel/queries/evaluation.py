@@ -11,7 +11,7 @@ from icupanel.operators import evaluate as E
 
 from icupanel.operators import splits as SP
 from icupanel.operators import stats as ST
-from icupanel.queries.base import CONCEPTS, LABELLED, PANEL, PREDICTIONS, STAYS, concepts, cuts_sql, filled, labelled, panel, predictions, query, rounded, stays, table
+from icupanel.queries.base import CONCEPTS, LABELLED, PANEL, PREDICTIONS, STAYS, concepts, cuts_sql, filled, labelled, once, panel, predictions, query, rounded, stays, table
 from icupanel.queries.panels import UTILITIES
 
 N_CUTS = 100
@@ -107,7 +107,7 @@ def normaliser(spark, d):
 
 @query("SELECT stay_id, stay_time, round((hr_raw - m1) / s1, 6) AS hr_raw, round((temp_raw - m2) / s2, 6) AS temp_raw FROM panel, stat", _NORM)
 def zscore_split(spark, d):
-    p = panel(spark, d).select("stay_id", "stay_time", "hr_raw", "temp_raw")
+    p = once(panel(spark, d).select("stay_id", "stay_time", "hr_raw", "temp_raw"), "panel")
     ids = SP.stratified_split(stays(spark, d)).where("rep = 0 AND split = 'train'")
     return rounded(ST.zscored(p, ST.normaliser(p, ["hr_raw", "temp_raw"], ids)))
 
@@ -117,9 +117,9 @@ def zscore_round_trip(spark, d):
     s = ST.normaliser(p, ["hr_raw"])
     return rounded(ST.zscored(ST.zscored(p, s), s, inverse=True))
 
-@query("SELECT stay_id, stay_time, round(hr_raw, 6) AS hr_raw, round((hr_raw - m1) / s1 + 1, 6) AS above FROM panel, (SELECT avg(hr_raw) AS m1, stddev_samp(hr_raw) AS s1 FROM panel)", PANEL)
+@query("SELECT stay_id, stay_time, round(hr_raw, 6) AS hr_raw, round((hr_raw - avg(hr_raw) OVER ()) / stddev_samp(hr_raw) OVER () + 1, 6) AS above FROM panel", PANEL)
 def transform_on_normalised(spark, d):
-    p = panel(spark, d).select("stay_id", "stay_time", "hr_raw")
+    p = once(panel(spark, d).select("stay_id", "stay_time", "hr_raw"), "panel")
     return rounded(ST.on_normalised(p, ST.normaliser(p, ["hr_raw"]), [lambda x: x.withColumn("above", F.col("hr_raw") + 1)])).select("stay_id", "stay_time", "hr_raw", "above")
 
 @query("SELECT stay_id, stay_time, round(coalesce(hr_raw, 0), 6) AS hr_raw, round(CASE WHEN coalesce(map_raw, 0) = 0 THEN 0 ELSE coalesce(hr_raw / map_raw, 0) END, 6) AS quotient FROM panel", PANEL)
@@ -144,13 +144,13 @@ def _cuts(p, n=N_CUTS):
        "round(em, 6) AS earliness_mean, round(ed, 6) AS earliness_median, el AS earliness_min, eh AS earliness_max, " + ", ".join(f"round(coalesce(coalesce(a{k}, 0) / nullif(cases, 0), 0), 6) AS proportion_{k}_hours_before_onset" for k in range(11))
        + " FROM cuts LEFT JOIN per USING (thres_no), totals", _ALARMS)
 def first_alarm_sweep(spark, d):
-    p = predictions(spark, d)
+    p = once(predictions(spark, d), "predictions")
     return rounded(E.patient_sweep(p, _cuts(p)))
 
 @query("SELECT thres_no, round(coalesce(tp, 0) / nullif(cases, 0), 6) AS pat_recall, round(coalesce(coalesce(tp, 0) / nullif(coalesce(tp, 0) + coalesce(fp, 0), 0), 0), 6) AS pat_precision, round(1 - coalesce(coalesce(fp, 0) / nullif(controls, 0), 0), 6) AS pat_specificity, round(ed, 6) AS earliness_median FROM cuts LEFT JOIN per USING (thres_no), totals", _ALARMS.replace("top >= thres", "top > thres"))
 def strict_alarm_sweep(spark, d):
     """Alarms only above a threshold, not at it."""
-    p = predictions(spark, d)
+    p = once(predictions(spark, d), "predictions")
     return rounded(E.patient_sweep(p, _cuts(p), strict=True).select("thres_no", "pat_recall", "pat_precision", "pat_specificity", "earliness_median"))
 
 
@@ -160,7 +160,7 @@ tp AS (SELECT thres_no, thres, coalesce(sum(ones), 0) AS tp, coalesce(sum(n), 0)
 
 @query("SELECT thres_no, thres, round(tp / nullif(p, 0), 6) AS tp_recall, round(coalesce(tp / nullif(alarms, 0), 0), 6) AS tp_precision FROM tp, pos", _TP)
 def timepoint_sweep(spark, d):
-    p = predictions(spark, d)
+    p = once(predictions(spark, d), "predictions")
     return rounded(E.timepoint_sweep(p, _cuts(p)))
 
 _PEAKS = UTILITIES + PREDICTIONS[len(LABELLED):] + """, peaks AS (SELECT max(score) AS peak FROM predictions GROUP BY stay_id),
@@ -171,7 +171,8 @@ u AS (SELECT score, u1 - u0 AS u FROM predictions JOIN utilities USING (stay_id,
 @query("SELECT thres_no, thres, round(sum(CASE WHEN score > thres THEN u ELSE 0 END) / (SELECT sum(u) FROM u WHERE u > 0), 6) AS utility FROM cut, u GROUP BY ALL", _PEAKS)
 def utility_sweep(spark, d):
     """Normalised utility at the quantiles of the stays' highest scores."""
-    f = T.with_utilities(filled(spark, d)).withColumn("score", F.coalesce(F.round(F.least(F.lit(1.0), F.col("temp_locf") / 300), 6), F.lit(0.0)))
+    f = T.with_utilities(filled(spark, d)).select("stay_id", "utility", F.coalesce(F.round(F.least(F.lit(1.0), F.col("temp_locf") / 300), 6), F.lit(0.0)).alias("score"))
+    f = once(f, "utilities")
     cuts = [round(c, 6) for c in E.threshold_list(E.peak_thresholds(f, n=21))]
     return rounded(E.utility_sweep(f, cuts))
 
@@ -182,7 +183,7 @@ def range_thresholds(spark, d):
 @query(", x AS (SELECT round(tp / nullif(p, 0), 6) AS r, round(coalesce(tp / nullif(alarms, 0), 0), 6) AS pr, thres FROM tp, pos), a AS (SELECT r, pr, thres FROM x WHERE r >= 0.8 ORDER BY r, pr, thres LIMIT 1), b AS (SELECT r, pr, thres FROM x WHERE r <= 0.8 ORDER BY r DESC, pr DESC, thres DESC LIMIT 1) "
        "SELECT round(b.pr + coalesce((0.8 - b.r) / nullif(a.r - b.r, 0), 0) * (a.pr - b.pr), 6) AS tp_precision, round(b.thres + coalesce((0.8 - b.r) / nullif(a.r - b.r, 0), 0) * (a.thres - b.thres), 6) AS thres FROM a, b", _TP)
 def metrics_at_recall(spark, d):
-    p = predictions(spark, d)
+    p = once(predictions(spark, d), "predictions")
     return rounded(E.at_recall(rounded(E.timepoint_sweep(p, _cuts(p))), "tp_recall", 0.8, ["tp_precision", "thres"]))
 
 @query(", x AS (SELECT round(tp / nullif(p, 0), 6) AS r, round(coalesce(tp / nullif(alarms, 0), 0), 6) AS pr, thres FROM tp, pos) SELECT r AS tp_recall, thres, pr AS tp_precision FROM x WHERE r > 0.5 ORDER BY r, thres DESC LIMIT 1", _TP)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -15,18 +13,12 @@ from icupanel.operators import panel as P
 from icupanel.operators import splits as SP
 from icupanel.operators import stats as ST
 from icupanel.plans import models as M
-from icupanel.queries.base import FILLED, PANEL, PREDICTIONS, RAW, STAYS, filled, labelled, panel, predictions, query, rounded, stays, table
+from icupanel.queries.base import FILLED, PANEL, PREDICTIONS, RAW, STAYS, filled, labelled, panel, once, predictions, query, rounded, scratch, stays, table
 from icupanel.queries.evaluation import SPLITS
 from icupanel.sources import io
 from icupanel.streaming import alarms
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder under the cluster's shared one, or the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/icupanel-{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT stay_id, stay_time, round(hr_raw, 6) AS hr_raw, round(map_raw, 6) AS map_raw, round(resp_raw, 6) AS resp_raw FROM panel", PANEL)
 def feature_group_select(spark, d):
     p = panel(spark, d)
