@@ -13,7 +13,7 @@ from icupanel.operators import panel as P
 from icupanel.operators import splits as SP
 from icupanel.operators import stats as ST
 from icupanel.plans import models as M
-from icupanel.queries.base import FILLED, PANEL, PREDICTIONS, RAW, STAYS, filled, labelled, panel, once, predictions, query, rounded, scratch, stays, table
+from icupanel.queries.base import FILLED, LOCF, NAMES, PANEL, PREDICTIONS, RAW, STAYS, filled, labelled, panel, once, predictions, query, rounded, scratch, stays, table
 from icupanel.queries.evaluation import SPLITS
 from icupanel.sources import io
 from icupanel.streaming import alarms
@@ -274,10 +274,36 @@ def stream_first_alarm(spark, d):
     return spark.read.parquet(table_).select("stay_id", F.col("alarm_ts").cast("timestamp_ntz").alias("alarm_ts"), "value")
 
 
-@query()
+@query("SELECT hour, user_id, event_type, round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS hour, user_id, event_type, value FROM events) WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY ALL")
 def stream_hourly(spark, d):
     """Hourly means by user and type up to the watermark, from the streaming job over the events file."""
     stream = alarms.read_stream(spark, d, _EVENTS, "events.parquet")
     table_, mark = scratch(spark, "hourly"), scratch(spark, "hourly-state")
     alarms.run_to_table(alarms.hourly_means(stream), table_, mark)
-    return rounded(spark.read.parquet(table_))
+    return rounded(spark.read.parquet(table_).withColumn("hour", F.col("hour").cast("timestamp_ntz")))
+
+
+def _in_slices(spark, d, job, slices: int = 3):
+    """The events as they'd arrive, up to an hour late, in slices of time: each is written and the job, begun anew, goes through it."""
+    events = table(spark, d, "events").withColumn("value", F.floor("value").cast("double"))
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod("event_id", F.lit(3600)) * 1_000_000
+    ends = events.agg(F.min(arrival).alias("low"), F.max(arrival).alias("high")).first()
+    step = (ends.high - ends.low) // slices + 1
+    source, out, mark = scratch(spark, "arrivals"), scratch(spark, "told"), scratch(spark, "told-state")
+    for k in range(slices):
+        events.where((arrival >= ends.low + k * step) & (arrival < ends.low + (k + 1) * step)).write.mode("append").parquet(source)
+        alarms.run_to_table(job(alarms.read_stream(spark, source, _EVENTS, files_a_batch=None)), out, mark)
+    return spark.read.parquet(out)
+
+
+@query("SELECT stay_id, ts AS alarm_ts, value FROM (SELECT user_id AS stay_id, ts, floor(value) AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, floor(value)) AS r FROM events WHERE floor(value) >= 300) WHERE r = 1 AND ts <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)")
+def stream_first_alarm_by_time(spark, d):
+    """Each user's first high value by event time, over late rows and restarts of the job."""
+    told = _in_slices(spark, d, lambda s: alarms.first_alarms_by_time(s, 300.0))
+    return told.select("stay_id", F.col("alarm_ts").cast("timestamp_ntz").alias("alarm_ts"), "value")
+
+
+@query("SELECT f.stay_id, stay_time, " + ", ".join(f"round({c}, 6) AS {c}" for c in [*RAW, *LOCF]) + " FROM filled f JOIN t0 ON f.stay_id = t0.stay_id WHERE t0 + to_hours(CAST(stay_time + 1 AS INTEGER)) <= (SELECT max(ts) - INTERVAL 2 HOUR FROM ev)", FILLED)
+def stream_grid(spark, d):
+    """The complete hourly grid with values carried on, told hour by hour, over late rows and restarts of the job."""
+    return rounded(_in_slices(spark, d, lambda s: alarms.hourly_grid(s, NAMES)))
