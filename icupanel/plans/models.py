@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from hashlib import md5
 from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from icupanel.functions import targets
@@ -43,19 +44,58 @@ def score(model: PipelineModel, rows: DataFrame, features: Sequence[str], keys:
     return out.select(*keys, value.alias("score"))
 
 
-def search(rows: DataFrame, kind: str, features: Sequence[str], grid: dict[str, Sequence], fold: str, n: int | None = None, label: str = "label") -> CrossValidatorModel:
-    """Grid or, with `n`, a hash-sampled grid, cross-validated over the folds of stays in `fold`."""
+def grid_points(grid: dict[str, Sequence], n: int | None = None, seed: int = 0) -> list[dict]:
+    """All points of a grid, or `n` of them in the order of a hash of seed and place."""
+    points = [dict(zip(grid, v)) for v in product(*grid.values())]
+    if n is None or n >= len(points):
+        return points
+    order = sorted(range(len(points)), key=lambda i: md5(f"{seed}|{i}".encode()).hexdigest())
+    return [points[i] for i in sorted(order[:n])]
+
+
+def judge(kind: str, label: str = "label"):
+    """What a model is judged by: area under ROC of classifiers, minus the mean squared error of regressions (larger is better)."""
+    if kind in ("logistic", "forest", "boosted"):
+        return BinaryClassificationEvaluator(labelCol=label)
+    return RegressionEvaluator(labelCol=label, metricName="mse")
+
+
+def _value(evaluator, scored: DataFrame) -> float:
+    v = float(evaluator.evaluate(scored))
+    return v if evaluator.isLargerBetter() else -v
+
+
+def search(rows: DataFrame, kind: str, features: Sequence[str], grid: dict[str, Sequence], fold: str, n: int | None = None, label: str = "label", seed: int = 0) -> CrossValidatorModel:
+    """Grid or, with `n`, a hash-sampled grid, cross-validated over the folds of stays in `fold`; avgMetrics are in the order of `grid_points`."""
     pipe = pipeline(kind, features, label)
     stage = pipe.getStages()[-1]
-    points = [dict(zip(grid, v)) for v in product(*grid.values())]
-    if n is not None:
-        points = [p for _, p in sorted(((i * 1103515245 + 12345) % 2147483648, p) for i, p in enumerate(points))[:n]] if n < len(points) else points
-    maps = [{stage.getParam(k): v for k, v in p.items()} for p in points]
+    maps = [{stage.getParam(k): v for k, v in p.items()} for p in grid_points(grid, n, seed)]
     folds = rows.agg(F.max(fold)).first()[0] + 1
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps or ParamGridBuilder().build(), evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=int(folds), foldCol=fold)
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps or ParamGridBuilder().build(), evaluator=judge(kind, label), numFolds=int(folds), foldCol=fold)
     return cv.fit(rows.fillna(0.0, list(features)))
 
 
+def best_point(cv: CrossValidatorModel, points: Sequence[dict]) -> dict:
+    """The searched point with the best mean, the first of equal ones."""
+    sign = 1 if cv.getEvaluator().isLargerBetter() else -1
+    return points[max(range(len(points)), key=lambda k: (sign * cv.avgMetrics[k], -k))]
+
+
+def refit(rows: DataFrame, splits: DataFrame, kind: str, features: Sequence[str], point: dict, label: str = "label") -> list[tuple[int, float, float]]:
+    """(rep, value on validation, value on test) of one point fitted anew on the training stays of every repetition.
+
+    `splits` has (stay_id, rep, split).  A loop over repetitions, of which there
+    are a handful, each a distributed fit.
+    """
+    parts = splits.select(F.col(ID).alias("_id"), "rep", "split")
+    met, out, by = rows.join(parts, F.col(ID) == F.col("_id")).drop("_id"), [], judge(kind, label)
+    for rep in sorted(r.rep for r in splits.select("rep").distinct().collect()):
+        part = lambda s: met.where((F.col("rep") == rep) & (F.col("split") == s))  # noqa: B023,E731
+        model = fit(part("train"), kind, features, label, **point)
+        out.append((rep, *[_value(by, model.transform(part(s).fillna(0.0, list(features)))) for s in ("validation", "test")]))
+    return out
+
+
 def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
     last = model.stages[-1]
     values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else np.abs(last.coefficients.toArray())
@@ -63,15 +103,23 @@ def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str
 
 
 def eliminate(rows: DataFrame, kind: str, features: Sequence[str], keep: int, fold: str, label: str = "label", step: int = 1, **params) -> list[tuple[int, str, float]]:
-    """Backward elimination: (round, dropped feature, area under ROC before the drop), on held-out fold 0."""
-    left, log, k = list(features), [], 0
-    train, test = rows.where(F.col(fold) != 0), rows.where(F.col(fold) == 0)
-    judge = BinaryClassificationEvaluator(labelCol=label)
+    """Backward elimination over folds of stays: (round, dropped feature, mean value on the held-out folds before the drop).
+
+    In each round one model a fold is fitted on the other folds; the `step`
+    features with the smallest mean importance go, of equal ones the last by name.
+    """
+    left, log, k, by = list(features), [], 0, judge(kind, label)
+    folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
     while len(left) > keep:
-        model = fit(train, kind, left, label, **params)
-        auc = float(judge.evaluate(model.transform(test.fillna(0.0, left))))
-        for name, _ in importances(model, left)[-min(step, len(left) - keep) :]:
-            log.append((k, name, auc))
+        values, weight = [], dict.fromkeys(left, 0.0)
+        for f in folds:
+            model = fit(rows.where(F.col(fold) != f), kind, left, label, **params)
+            values.append(_value(by, model.transform(rows.where(F.col(fold) == f).fillna(0.0, left))))
+            for name, w in importances(model, left):
+                weight[name] += w / len(folds)
+        order = sorted(left, key=lambda c: (-weight[c], c))
+        for name in order[-min(step, len(left) - keep) :]:
+            log.append((k, name, sum(values) / len(values)))
             left.remove(name)
         k += 1
     return log
@@ -122,18 +170,40 @@ def signature(path: np.ndarray, order: int) -> np.ndarray:
 
 
 def path_signatures(panel: DataFrame, columns: Sequence[str], rows: int = 7, order: int = 3, prefix: str = "signature") -> DataFrame:
-    """Signatures of the last `rows` rows of a group of columns; before a stay's start the path is 0, as are missing values."""
-    d = len(columns)
-    names = [f"{prefix}_signature_{i}" for i in range(sum(d**k for k in range(1, order + 1)))]
-
-    def made(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TIME)
-        x = np.vstack([np.zeros((rows - 1, d)), pdf[list(columns)].to_numpy(float, na_value=0.0)])
-        x = np.nan_to_num(x)
-        out = signatures(np.lib.stride_tricks.sliding_window_view(x, rows, axis=0).transpose(0, 2, 1), order)
-        return pd.concat([pdf[[ID, TIME]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
-
-    return per_patient(panel.select(ID, TIME, *columns), made, f"{ID} long, {TIME} long, " + ", ".join(f"{n} double" for n in names))
+    """(stay_id, stay_time, …): truncated signatures of the last `rows` rows of a group of columns; before a stay's start the path is 0, as are missing values.
+
+    Terms go level by level, in each in the order of their indices.  One window
+    brings the path's points into a row; then Chen's identity takes in one
+    increment after the other, each step a projection of its own over the terms
+    before, all in generated code.
+    """
+    dims = range(len(columns))
+    w = Window.partitionBy(ID).orderBy(TIME)
+    value = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    point = lambda c, k: F.coalesce(F.lag(value(c), k).over(w), F.lit(0.0)) if k else value(c)
+    out = panel.select(ID, TIME, *[point(c, rows - 1 - k).alias(f"_x{k}_{i}") for i, c in enumerate(columns) for k in range(rows)])
+    out = out.select(ID, TIME, *[(F.col(f"_x{k}_{i}") - F.col(f"_x{k - 1}_{i}")).alias(f"_d{k}_{i}") for i in dims for k in range(1, rows)])
+    words = [word for n in range(1, order + 1) for word in product(dims, repeat=n)]
+    name = lambda word: "_s" + "_".join(map(str, word))
+
+    def taken_in(step: int, word: tuple[int, ...]) -> Column:
+        """The word's term after one increment more: its begins' terms times the increment's powers over factorials, nested as in Horner's scheme.
+
+        Without divisions no value can be null, which keeps the generated method
+        small enough for the JVM to compile.
+        """
+        term = None
+        for n, i in enumerate(word, 1):
+            share = F.col(f"_d{step}_{i}") if n == len(word) else F.col(f"_d{step}_{i}") * F.lit(1.0 / (len(word) - n + 1))
+            term = share if term is None else term * share
+            if step > 1:
+                term = term + F.col(name(word[:n]))
+        return term
+
+    for step in range(1, rows):
+        later = [f"_d{k}_{i}" for k in range(step + 1, rows) for i in dims]
+        out = out.select(ID, TIME, *later, *[taken_in(step, word).alias(name(word)) for word in words])
+    return out.select(ID, TIME, *[F.col(name(word)).alias(f"{prefix}_signature_{k}") for k, word in enumerate(words)])
 
 
 def random_utility(panel: DataFrame, probabilities: Sequence[float], draws: int, label: str = "sep3", shift: int = 0, weight: float = 1.0, seed: int = 0) -> DataFrame:

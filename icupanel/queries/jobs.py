@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import product
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from icupanel.operators import cohort as C
 from icupanel.operators import panel as P
 from icupanel.operators import splits as SP
 from icupanel.operators import stats as ST
+from icupanel.plans import fitted
 from icupanel.plans import models as M
 from icupanel.queries.base import FILLED, LOCF, NAMES, PANEL, PREDICTIONS, RAW, STAYS, filled, labelled, panel, once, predictions, query, rounded, scratch, stays, table
 from icupanel.queries.evaluation import SPLITS
@@ -205,13 +209,25 @@ def pipeline_steps(spark, d):
     return rounded(M.chain(labelled(spark, d), steps))
 
 
-@query(", x AS (SELECT stay_id, stay_time, coalesce(hr_locf, 0) - lag(coalesce(hr_locf, 0), 6, 0) OVER w AS a, coalesce(temp_locf, 0) - lag(coalesce(temp_locf, 0), 6, 0) OVER w AS b FROM filled WINDOW w AS (PARTITION BY stay_id ORDER BY stay_time)) "
-       "SELECT stay_id, stay_time, round(a, 6) AS s0, round(b, 6) AS s1, round(a * a / 2, 6) AS s00, round(b * b / 2, 6) AS s11, round(a * b, 6) AS cross_sum, round(a * a * a / 6, 6) AS s000, round(b * b * b / 6, 6) AS s111 FROM x", FILLED)
+def _signature_sql(rows: int = 7) -> str:
+    """All 14 values from the increments a to f of both columns: sums over non-falling steps, equal ones divided by the factorial of their number."""
+    steps = range(1, rows)
+    value = {0: "coalesce(hr_locf, 0)", 1: "coalesce(temp_locf, 0)"}
+    ago = lambda i, k: f"coalesce(lag({value[i]}, {k}) OVER w, 0)" if k else value[i]
+    d = ", ".join(f"{ago(i, rows - 1 - k)} - {ago(i, rows - k)} AS d{k}{i}" for i in value for k in steps)
+    out = []
+    for n in (1, 2, 3):
+        for word in product((0, 1), repeat=n):
+            terms = [f"{'*'.join(f'd{k}{i}' for k, i in zip(at, word))}/{math.prod(math.factorial(at.count(k)) for k in set(at))}.0" for at in product(steps, repeat=n) if list(at) == sorted(at)]
+            out.append(f"round({' + '.join(terms)}, 4) AS s{len(out)}")
+    return f", x AS (SELECT stay_id, stay_time, {d} FROM filled WINDOW w AS (PARTITION BY stay_id ORDER BY stay_time)) SELECT stay_id, stay_time, {', '.join(out)} FROM x"
+
+
+@query(_signature_sql(), FILLED)
 def path_signature(spark, d):
-    """Signatures of two columns: changes over the look-back, their powers, and the sum of the crossed terms, which is their product."""
+    """All values of the signatures of two columns over the look-back."""
     sig = M.path_signatures(filled(spark, d), ["hr_locf", "temp_locf"])
-    s = lambda i: F.col(f"signature_signature_{i}")
-    return rounded(sig.select("stay_id", "stay_time", s(0).alias("s0"), s(1).alias("s1"), s(2).alias("s00"), s(5).alias("s11"), (s(3) + s(4)).alias("cross_sum"), s(6).alias("s000"), s(13).alias("s111")))
+    return sig.select("stay_id", "stay_time", *[F.round(f"signature_signature_{k}", 4).alias(f"s{k}") for k in range(14)])
 
 
 def _model_rows(spark, d):
@@ -226,10 +242,43 @@ _FEATURES = ["hr_locf", "map_locf", "temp_locf"]
 @query()
 def logistic_cv(spark, d):
     """Cross-validated logistic regression: one row a grid point with its mean area under ROC."""
-    cv = M.search(_model_rows(spark, d).cache(), "logistic", _FEATURES, {"regParam": [0.0, 0.1], "maxIter": [5]}, "fold")
+    cv = M.search(once(_model_rows(spark, d), "model-rows"), "logistic", _FEATURES, {"regParam": [0.0, 0.1], "maxIter": [5]}, "fold")
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(cv.avgMetrics)], "point int, auroc double")
 
 
+@query()
+def search_refit(spark, d):
+    """A random search by folds, and its best point fitted anew on every repetition of the splits."""
+    rows, grid = once(_model_rows(spark, d), "model-rows"), {"regParam": [0.0, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5], "maxIter": [5]}
+    points = M.grid_points(grid, 3)
+    best = M.best_point(M.search(rows, "logistic", _FEATURES, grid, "fold", n=3), points)
+    return spark.createDataFrame(M.refit(rows, once(SP.stratified_split(stays(spark, d), reps=3), "splits"), "logistic", _FEATURES, best), "rep int, validation double, test double")
+
+
+_FIT = SPLITS + """, part AS (SELECT p.stay_id, p.stay_time, hr_raw, temp_raw, last_value(hr_raw IGNORE NULLS) OVER w AS hr_locf, last_value(temp_raw IGNORE NULLS) OVER w AS temp_locf, split FROM panel p JOIN splits s ON p.stay_id = s.stay_id AND rep = 0 WINDOW w AS (PARTITION BY p.stay_id ORDER BY stay_time ROWS UNBOUNDED PRECEDING)),
+med AS (SELECT median(hr_locf) AS h, median(temp_locf) AS t FROM part WHERE split = 'train'),
+filled_in AS (SELECT stay_id, stay_time, split, coalesce(hr_locf, h) AS hr, coalesce(temp_locf, t) AS temp FROM part, med),
+ends AS (SELECT quantile_cont(hr, 0.02) AS h0, quantile_cont(hr, 0.98) AS h1, quantile_cont(temp, 0.02) AS t0, quantile_cont(temp, 0.98) AS t1 FROM filled_in WHERE split = 'train'),
+clipped AS (SELECT stay_id, stay_time, split, least(greatest(hr, h0), h1) AS hr, least(greatest(temp, t0), t1) AS temp FROM filled_in, ends),
+norm AS (SELECT avg(hr) AS hm, stddev_samp(hr) AS hs, avg(temp) AS tm, stddev_samp(temp) AS ts FROM clipped WHERE split = 'train')
+"""
+
+
+@query("SELECT stay_id, stay_time, round((hr - hm) / hs, 6) AS hr_locf, round((temp - tm) / ts, 6) AS temp_locf FROM clipped, norm WHERE split = 'test'", _FIT)
+def fitted_pipeline(spark, d):
+    """Steps fitted on the training stays, saved, read again and applied to the test stays."""
+    p = once(panel(spark, d).select("stay_id", "stay_time", "hr_raw", "temp_raw"), "panel")
+    parts = once(SP.stratified_split(stays(spark, d)).where("rep = 0"), "splits")
+    of = lambda split: p.join(parts.where(F.col("split") == split).select("stay_id"), "stay_id", "left_semi")
+    columns = ["hr_locf", "temp_locf"]
+    made = fitted.fit(of("train"), [
+        ("carry on", "locf", {"columns": ["hr_raw", "temp_raw"]}), ("only these", "select", {"columns": ["stay_id", "stay_time", *columns]}), ("fill", "impute_median", {"columns": columns}),
+        ("clip", "clip", {"columns": columns, "low": 0.02, "high": 0.98}), ("normalise", "zscore", {"columns": columns})])
+    path = scratch(spark, "pipeline")
+    made.save(path)
+    return rounded(fitted.load(spark, path).transform(of("test")))
+
+
 @query()
 def tree_scores(spark, d):
     rows = _model_rows(spark, d)
@@ -246,7 +295,7 @@ def batch_scoring(spark, d):
 
 @query()
 def backward_elimination(spark, d):
-    log = M.eliminate(_model_rows(spark, d).cache(), "boosted", _FEATURES, 1, "fold", maxIter=3, maxDepth=3)
+    log = M.eliminate(once(_model_rows(spark, d), "model-rows"), "boosted", _FEATURES, 1, "fold", maxIter=3, maxDepth=3)
     return spark.createDataFrame(log, "round int, dropped string, auroc double")
 
 
