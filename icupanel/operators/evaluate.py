@@ -234,6 +234,28 @@ def calibration(rows: DataFrame, score: str = "score", label: str = "label", bin
     return rows.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("share"))
 
 
+def calibration_bands(rows: DataFrame, score: str = "score", label: str = "label", rep: str = "rep", bins: int = 10) -> DataFrame:
+    """(grid_no, x, mean, std, n_mean, n_std) over repetitions: reliability brought to `bins` even points of [0, 1], and the histogram of scores.
+
+    Between the mean scores of a repetition's bins the share is linear, outside
+    them it stays at the nearest one's; deviations are of the population.  Only
+    `bins` rows a repetition are gathered.
+    """
+    bin_ = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
+    known = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    points = known.groupBy(rep, bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("x"), F.avg(F.col(label).cast("double")).alias("y"))
+    curves = points.groupBy(rep).agg(F.sort_array(F.collect_list(F.struct("x", "y", "bin", "n"))).alias("curve"))
+    at = curves.select(rep, "curve", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("grid_no")).withColumn("at", F.col("grid_no") / (bins - 1))
+    low = F.element_at(F.concat(F.slice("curve", 1, 1), F.filter("curve", lambda p: p["x"] <= F.col("at"))), -1)
+    high = F.element_at(F.concat(F.filter("curve", lambda p: p["x"] >= F.col("at")), F.slice("curve", -1, 1)), 1)
+    n = F.aggregate("curve", F.lit(0).cast("long"), lambda s, p: s + F.when(p["bin"] == F.col("grid_no"), p["n"]).otherwise(0))
+    ends = at.select(rep, "grid_no", "at", low.alias("low"), high.alias("high"), n.alias("n"))
+    share = F.least(F.greatest(F.coalesce(F.try_divide(F.col("at") - F.col("low.x"), F.col("high.x") - F.col("low.x")), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    value = F.col("low.y") + share * (F.col("high.y") - F.col("low.y"))
+    return ends.withColumn("y", value).groupBy("grid_no", F.col("at").alias("x")).agg(
+        F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"), F.avg("n").alias("n_mean"), F.stddev_pop("n").alias("n_std"))
+
+
 def alarm_against_treatment(rows: DataFrame, treatments: DataFrame, cut: float, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Stays by whether the first alarm came before the first treatment, not before it, or never, and the mean lead."""
     alarm = rows.groupBy(*by, ID).agg(F.min(F.when(F.col(score) >= cut, F.col(TIME))).alias("alarm"))

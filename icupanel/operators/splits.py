@@ -51,6 +51,21 @@ def fine_tuning_subsets(splits: DataFrame, shares: tuple[float, ...] = (0.2, 0.5
     return each.where(F.col("r") <= F.ceil(F.col("n") * F.col("share"))).select(ID, "label", "rep", "share")
 
 
+def training_subsets(splits: DataFrame, sizes: tuple[float, ...] = (0.2, 0.3, 0.4, 0.5), train_share: float = 0.8, rep: int = 0, seed: int = 4) -> DataFrame:
+    """(stay_id, label, size): nested stratified parts of one repetition's training stays, `size` of all development stays each, of which training makes up `train_share`."""
+    t = ranked(splits.where((F.col("split") == "train") & (F.col("rep") == rep)).select(ID, "label"), seed)
+    each = t.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
+    return each.where(F.col("r") <= F.ceil(F.round(F.col("n") * F.col("size") / train_share, 9))).select(ID, "label", "size")
+
+
+def resplit(splits: DataFrame, train: tuple[float, ...] = (0.9, 0.7), seed: int = 6) -> DataFrame:
+    """(stay_id, label, rep, share, split): each repetition's validation stays parted anew into training and validation, such as 90 to 10 and 70 to 30."""
+    v = ranked(splits.where(F.col("split") == "validation").select(ID, "label", "rep"), F.col("rep") + seed, ("label", "rep"))
+    each = v.withColumn("share", F.explode(F.array(*[F.lit(s) for s in train])))
+    part = F.when(F.col("r") <= F.floor(F.round(F.col("n") * F.col("share"), 9)), "train").otherwise("validation")
+    return each.select(ID, "label", "rep", "share", part.alias("split"))
+
+
 def subsample(stays: DataFrame, prevalence: float = 0.188, draws: int = 10, seed: int = 123) -> DataFrame:
     """(draw, stay_id, label): the over-represented class drawn down to the target prevalence, the other whole."""
     p = prevalence

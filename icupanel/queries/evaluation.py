@@ -451,11 +451,11 @@ def attribution_rank(spark, d):
 def top_features(spark, d):
     return rounded(ST.top_features(ST.attribution(_attr(spark, d))))
 
-@query("SELECT feature, " + ", ".join(f"CAST(max(rk) FILTER (WHERE run = {k}) AS INTEGER) AS run_{k}" for k in range(1, 5)) + " FROM ranks WHERE run <= 4 GROUP BY feature", _ATTR)
+@query("SELECT feature, " + ", ".join(f"CAST(max(rk) FILTER (WHERE run = {k}) AS INTEGER) AS run_{k}" for k in range(1, 8)) + " FROM ranks GROUP BY feature", _ATTR)
 def ranking_merge(spark, d):
-    """Rankings of four runs side by side."""
+    """Rankings of all seven runs side by side."""
     r = ST.attribution(_attr(spark, d))
-    return ST.merged_rankings({f"run_{k}": r.where(F.col("run") == k) for k in range(1, 5)})
+    return ST.merged_rankings({f"run_{k}": r.where(F.col("run") == k) for k in range(1, 8)})
 
 @query(", tail AS (SELECT *, max(stay_time) OVER (PARTITION BY run, stay_id) AS t FROM attr), p2 AS (SELECT run, feature, avg(abs(shap)) AS m FROM tail WHERE stay_time > t - 5 GROUP BY ALL) SELECT run, feature, round(m, 6) AS mean_abs, CAST(rank() OVER (PARTITION BY run ORDER BY m DESC) AS INTEGER) AS rank FROM p2", _ATTR)
 def attribution_tail(spark, d):

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from icupanel import schema
 from icupanel.functions import scores as S
+from icupanel.functions import targets as T
 from icupanel.functions import windows as W
 from icupanel.operators import cohort as C
+from icupanel.operators import evaluate as E
 from icupanel.operators import panel as P
 from icupanel.operators import splits as SP
 from icupanel.operators import stats as ST
@@ -19,6 +21,7 @@ from icupanel.plans import fitted
 from icupanel.plans import models as M
 from icupanel.queries.base import FILLED, LOCF, NAMES, PANEL, PREDICTIONS, RAW, STAYS, filled, labelled, panel, once, predictions, query, rounded, scratch, stays, table
 from icupanel.queries.evaluation import SPLITS
+from icupanel.queries.panels import _LAMBDA
 from icupanel.sources import io
 from icupanel.streaming import alarms
 
@@ -105,8 +108,7 @@ def prediction_documents(spark, d):
     rows = predictions(spark, d).withColumn("model", F.explode(F.array(F.lit("view"), F.lit("click")))).select("model", "stay_id", "stay_time", "label", "score")
     path = scratch(spark, "documents")
     io.write_json(io.to_documents(rows, ["model"]), path)
-    back = spark.read.json(path, schema="model string, ids array<long>, times array<array<long>>, labels array<array<double>>, scores array<array<double>>")
-    return io.from_documents(back, ["model"])
+    return io.read_documents(spark, path, {"model": "string"}, whole_files=False).withColumn("stay_time", F.col("stay_time").cast("long"))
 
 
 @query("SELECT stay_id, stay_time, round(hr_raw, 6) AS hr_raw FROM panel", PANEL)
@@ -114,7 +116,7 @@ def psv_files(spark, d):
     """Pipe-separated files, a stay each, written and read back."""
     path = scratch(spark, "psv")
     io.write_psv(panel(spark, d), path, ["hr_raw"])
-    return rounded(spark.read.csv(path, sep="|", header=True, schema="stay_time long, hr_raw double, stay_id long", nullValue="NaN").select("stay_id", "stay_time", "hr_raw"))
+    return rounded(io.read_psv(spark, path, "stay_time long, hr_raw double", r"stay_id=(\d+)/").select("stay_id", "stay_time", "hr_raw"))
 
 
 @query("SELECT stay_id, stay_time, round(temp_raw, 6) AS temp_raw FROM panel WHERE stay_id IN (1, 5, 7) AND stay_time >= 10", PANEL)
@@ -158,6 +160,57 @@ def weight_file(spark, d):
     return rounded(io.read_weights(spark, path, {"site": "long"}))
 
 
+@query("SELECT 'train' AS split, round(lam, 6) AS \"lambda\" FROM lam", _LAMBDA)
+def lambda_file(spark, d):
+    """The prevalence weight written as JSON and read back."""
+    path = scratch(spark, "lambda")
+    io.write_weights(T.lambda_weight(labelled(spark, d), cost=5).select(F.lit("train").alias("split"), F.col("lam").alias("lambda")), path, ["split"])
+    return rounded(io.read_weights(spark, path, {"split": "string"}))
+
+
+@query("SELECT stay_id, label, rep, split FROM splits", SPLITS)
+def split_file(spark, d):
+    """Splits written as JSON lines and read back."""
+    path = scratch(spark, "split-file")
+    io.write_splits(SP.stratified_split(stays(spark, d)), path)
+    return io.read_split_rows(spark, path)
+
+
+@query("SELECT 'view' AS model, CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS share FROM predictions GROUP BY 2", PREDICTIONS)
+def evaluation_file(spark, d):
+    """A calibration table written under its run and read back."""
+    path = scratch(spark, "evaluation")
+    io.write_evaluation(rounded(E.calibration(predictions(spark, d))), path, {"model": "view"})
+    return io.read_evaluation(spark, path, "model string, bin int, n long, mean_score double, share double")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, count(*) - count({c}) AS missing, round(1 - count({c}) / count(*), 6) AS share FROM panel" for c in RAW), PANEL)
+def statistics_file(spark, d):
+    """Column statistics written as JSON and read back."""
+    p, path = once(panel(spark, d), "panel"), scratch(spark, "statistics")
+    io.write_statistics(ST.normaliser(p, RAW).join(ST.missing_report(p, RAW), "column"), path)
+    return rounded(io.read_statistics(spark, path))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def source_registry(spark, d):
+    """Two versions of a source in one folder: the newest is found by its number and read."""
+    folder, nation = scratch(spark, "sources"), table(spark, d, "nation").select("n_nationkey", "n_name")
+    nation.where("n_nationkey % 2 = 0").write.parquet(f"{folder}/demo_1.9.0")
+    nation.write.parquet(f"{folder}/demo_1.10.0")
+    nation.limit(1).write.parquet(f"{folder}/other_2.parquet")
+    return io.open_source(spark, folder, "demo")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{schema.base_name(c)}' AS variable, '{schema.category(schema.base_name(c))}' AS category, '{schema.column_group(c)}' AS kind, count({c}) AS n FROM filled" for c in [*RAW, *LOCF]), FILLED)
+def variable_mapping(spark, d):
+    """Each panel column's variable, category and kind, and its number of values."""
+    columns = [*RAW, *LOCF]
+    names = spark.createDataFrame([(c, schema.base_name(c), schema.category(schema.base_name(c)), schema.column_group(c)) for c in columns], "column string, variable string, category string, kind string")
+    n = filled(spark, d).agg(*[F.count(c).alias(c) for c in columns]).unpivot([], columns, "column", "n")
+    return names.join(n, "column")
+
+
 @query("SELECT stay_id, stay_time, round(temp_raw, 6) AS temp_raw FROM panel", PANEL)
 def drop_categories(spark, d):
     """A panel without its raw vitals but one: those of a category go, others stay."""

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from icupanel.operators import evaluate as E
 from icupanel.operators import online
+from icupanel.operators import panel as P
 from icupanel.operators import splits as SP
 from icupanel.operators import stats as ST
 from icupanel.plans import models as M
-from icupanel.queries.base import CONCEPTS, PREDICTIONS, STAYS, concepts, filled, labelled, once, panel, predictions, query, rounded, stays, table
+from icupanel.queries.base import CONCEPTS, LABELLED, PANEL, PREDICTIONS, STAYS, concepts, filled, labelled, once, panel, predictions, query, rounded, stays, table
 from icupanel.queries.evaluation import SPLITS, _h
 from icupanel.queries.panels import _U0, _U1, UTILITIES
 
@@ -155,3 +156,38 @@ def split_quantiles(spark, d):
        "SELECT rep, split, variable, bin, round(lo + bin * (hi - lo) / 10, 6) AS low, round(lo + (bin + 1) * (hi - lo) / 10, 6) AS high, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY rep, split, variable), 6) AS share FROM b GROUP BY rep, split, variable, bin, lo, hi", SPLITS + _LONG)
 def split_histograms(spark, d):
     return rounded(ST.split_histograms(panel(spark, d), SP.stratified_split(stays(spark, d)), ["hr_raw", "temp_raw"]))
+
+
+@query(f", t AS (SELECT stay_id, label, row_number() OVER (PARTITION BY label ORDER BY {_h(4)}, stay_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM splits WHERE rep = 0 AND split = 'train') SELECT stay_id, label, size FROM t, (VALUES (0.2::DOUBLE), (0.3::DOUBLE), (0.4::DOUBLE), (0.5::DOUBLE)) v(size) WHERE r <= ceil(round(n * size / 0.8::DOUBLE, 9))", SPLITS)
+def training_subsets(spark, d):
+    return SP.training_subsets(SP.stratified_split(stays(spark, d)))
+
+
+@query(f", t AS (SELECT stay_id, label, rep, row_number() OVER (PARTITION BY label, rep ORDER BY {_h('rep + 6')}, stay_id) AS r, count(*) OVER (PARTITION BY label, rep) AS n FROM splits WHERE split = 'validation') SELECT stay_id, label, rep, share, CASE WHEN r <= floor(round(n * share, 9)) THEN 'train' ELSE 'validation' END AS split FROM t, (VALUES (0.9::DOUBLE), (0.7::DOUBLE)) v(share)", SPLITS)
+def validation_resplit(spark, d):
+    return SP.resplit(SP.stratified_split(stays(spark, d)))
+
+
+_BANDS = """, pts AS (SELECT rep, CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(score) AS x, avg(predictions.label) AS y FROM predictions JOIN splits USING (stay_id) WHERE split = 'train' GROUP BY 1, 2),
+points_at AS (SELECT rep, CAST(k AS INTEGER) AS grid_no, k / 9.0::DOUBLE AS pos FROM (SELECT DISTINCT rep FROM pts), range(10) g(k)),
+ends AS (SELECT rep, grid_no, pos, coalesce(max_by({x: x, y: y}, x) FILTER (WHERE x <= pos), min_by({x: x, y: y}, x)) AS lo, coalesce(min_by({x: x, y: y}, x) FILTER (WHERE x >= pos), max_by({x: x, y: y}, x)) AS hi, coalesce(sum(n) FILTER (WHERE bin = grid_no), 0) AS n FROM points_at JOIN pts USING (rep) GROUP BY ALL),
+vals AS (SELECT grid_no, pos, n, CASE WHEN hi.x > lo.x THEN lo.y + (pos - lo.x) / (hi.x - lo.x) * (hi.y - lo.y) ELSE lo.y END AS y FROM ends)
+"""
+
+
+@query("SELECT grid_no, round(pos, 6) AS x, round(avg(y), 6) AS mean, round(stddev_pop(y), 6) AS std, round(avg(n), 6) AS n_mean, round(stddev_pop(n), 6) AS n_std FROM vals GROUP BY grid_no, pos",
+       "".join([PREDICTIONS, ", ", SPLITS[len(LABELLED):].lstrip().removeprefix(","), _BANDS]))
+def calibration_bands(spark, d):
+    """Reliability of a score over the repetitions' training stays: mean and deviation at even points."""
+    parts = SP.stratified_split(stays(spark, d)).where("split = 'train'").select(F.col("stay_id").alias("_id"), "rep")
+    rows = once(predictions(spark, d), "predictions").join(parts, F.col("stay_id") == F.col("_id"))
+    return rounded(E.calibration_bands(rows))
+
+
+@query("SELECT stay_id, CAST(count(*) AS INTEGER) AS length, md5(string_agg(stay_time || ':' || coalesce(CAST(CAST(round(hr_raw * 1000) AS BIGINT) AS VARCHAR), '-'), ',' ORDER BY stay_time) || repeat(',-:-9000', CAST(greatest(800 - count(*), 0) AS INTEGER))) AS digest FROM panel GROUP BY stay_id", PANEL)
+def instance_digest(spark, d):
+    """The padded arrays themselves: every time and value in order, then the padding."""
+    out = P.instances(panel(spark, d), ["hr_raw"], length=800, pad=-9.0)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    each = F.transform(F.arrays_zip("stay_times", "hr_raw"), lambda r: F.concat(text(r["stay_times"]), F.lit(":"), text(F.round(r["hr_raw"] * 1000).cast("long"))))
+    return out.select("stay_id", "length", F.md5(F.array_join(each, ",")).alias("digest"))

@@ -35,18 +35,19 @@ def one_stay(spark: SparkSession, path: str, stay: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col(ID) == stay).orderBy(TIME)
 
 
-def write_panel(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.repartitionByRange(ID).sortWithinPartitions(ID, TIME).write.mode(mode).parquet(path)
+def write_panel(df: DataFrame, path: str, mode: str = "error", rows_a_group: int = 2000) -> None:
+    """Files sorted by stay and time, in row groups of at most `rows_a_group` rows, so that statistics lead to one stay's groups."""
+    df.repartitionByRange(ID).sortWithinPartitions(ID, TIME).write.mode(mode).option("parquet.block.row.count.limit", rows_a_group).parquet(path)
 
 
 def write_split_cache(df: DataFrame, path: str, by: Sequence[str] = ("split", "rep")) -> None:
     df.repartition(*by, ID).write.partitionBy(*by).parquet(path)
 
 
-def read_psv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Pipe-separated files of one patient each, named p<id>.psv; NaN is missing."""
-    df = spark.read.csv(path, sep="|", header=True, schema=schema, nullValue="NaN", nanValue="")
-    return df.withColumn(ID, F.regexp_extract(F.col("_metadata.file_name"), r"p(\d+)\.psv", 1).cast("long"))
+def read_psv(spark: SparkSession, path: str, schema: str, id_pattern: str = r"p(\d+)\.psv$") -> DataFrame:
+    """Pipe-separated files of one patient each, the id parsed from the file's path by `id_pattern`; NaN is missing."""
+    df = spark.read.csv(path, sep="|", header=True, schema=schema, nullValue="NaN", nanValue="", recursiveFileLookup=True)
+    return df.withColumn(ID, F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).cast("long"))
 
 
 def write_psv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
@@ -74,9 +75,10 @@ def from_documents(documents: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.select(*keys, ID, F.col("r.times").alias(TIME), F.col("r.labels").alias("label"), F.col("r.scores").alias("score"))
 
 
-def read_documents(spark: SparkSession, path: str, keys: dict[str, str]) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, keys: dict[str, str], whole_files: bool = True) -> DataFrame:
+    """Long rows of prediction documents: a document a file, or a line each without `whole_files`."""
     schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", ids array<long>, times array<array<double>>, labels array<array<double>>, scores array<array<double>>"
-    return from_documents(spark.read.json(path, schema=schema, multiLine=True), list(keys))
+    return from_documents(spark.read.json(path, schema=schema, multiLine=whole_files), list(keys))
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
@@ -91,6 +93,50 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(each.alias("e")).select(F.explode("e.ids").alias(ID), "e.split", "e.rep")
 
 
+def write_splits(splits: DataFrame, path: str) -> None:
+    """(stay_id, label, rep, split) as JSON lines: no list of all ids is ever one row."""
+    write_json(splits.select(ID, "label", "rep", "split"), path)
+
+
+def read_split_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path, schema=f"{ID} long, label int, rep int, split string")
+
+
+def write_evaluation(table: DataFrame, path: str, run: dict[str, str]) -> None:
+    """An evaluation table, a line a threshold, under the keys of its run."""
+    write_json(table.select(*[F.lit(v).alias(k) for k, v in run.items()], *table.columns), path)
+
+
+def read_evaluation(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.json(path, schema=schema)
+
+
+def write_statistics(stats: DataFrame, path: str) -> None:
+    """(column, mean, std, missing, share) as JSON lines."""
+    write_json(stats.select("column", "mean", "std", "missing", "share"), path)
+
+
+def read_statistics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path, schema="column string, mean double, std double, missing long, share double")
+
+
+def registry(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Each source's newest path in a folder of paths named like source_1.2.0, with or without .parquet; other names are passed over."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)
+    paths = {f.getPath().getName().removesuffix(".parquet"): f.getPath().toString() for f in found}
+    return {source: paths[name] for source, name in newest(list(paths)).items()}
+
+
+def open_source(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    """The newest version of a registered source; raises for an unknown one."""
+    known = registry(spark, folder)
+    if source not in known:
+        raise ValueError(f"no source {source} in {folder}; there are {', '.join(sorted(known))}")
+    return spark.read.parquet(known[source])
+
+
 def newest(names: Sequence[str]) -> dict[str, str]:
     """Of names like source_1.2.0, each source's newest version."""
     found: dict[str, tuple[tuple[int, ...], str]] = {}

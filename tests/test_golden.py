@@ -173,3 +173,54 @@ def test_next_event_keeps_repeated_rows(spark):
     got = lambda strict: sorted((r.tag, r.next_time) for r in next_event(rows, events, "at", "t", strict).collect())
     assert got(True) == [("a", 7), ("a", 7), ("b", None), ("c", None), ("d", None), ("e", None)]
     assert got(False)[:2] == [("a", 5), ("a", 5)]
+
+
+def test_row_groups_are_bounded(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.range(9000).selectExpr("id div 90 AS stay_id", "id % 90 AS stay_time", "id AS x")
+    io.write_panel(df, f"{tmp_path}/p")
+    files = [pq.ParquetFile(p) for p in (tmp_path / "p").glob("*.parquet")]
+    groups = [f.metadata.row_group(k) for f in files for k in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 9000 and max(g.num_rows for g in groups) <= 2000
+    of_stay = lambda g: g.column(0).statistics
+    assert sum(of_stay(g).min <= 42 <= of_stay(g).max for g in groups) <= 2
+    assert [r.x for r in io.one_stay(spark, f"{tmp_path}/p", 42).collect()] == list(range(3780, 3870))
+
+
+def test_registry(spark, tmp_path):
+    for name in ("demo_1.9.0", "demo_1.10.0.parquet", "other_2", "notes"):
+        spark.createDataFrame([(name,)], "name string").write.parquet(f"{tmp_path}/{name}")
+    assert {k: v.rpartition("/")[2] for k, v in io.registry(spark, str(tmp_path)).items()} == {"demo": "demo_1.10.0.parquet", "other": "other_2"}
+    assert io.open_source(spark, str(tmp_path), "demo").first().name == "demo_1.10.0.parquet"
+    with pytest.raises(ValueError, match="no source lost"):
+        io.open_source(spark, str(tmp_path), "lost")
+
+
+def test_subsets_of_training_and_validation(spark):
+    stays = spark.range(400).select(F.col("id").alias("stay_id"), (F.col("id") % 4 == 0).cast("int").alias("label"))
+    splits = SP.stratified_split(stays, reps=2)
+    sizes = {}
+    for r in SP.training_subsets(splits).collect():
+        sizes.setdefault(r.size, set()).add((r.stay_id, r.label))
+    train = {(r.stay_id, r.label) for r in splits.where("rep = 0 AND split = 'train'").collect()}
+    assert sorted(sizes) == [0.2, 0.3, 0.4, 0.5] and all(abs(len(s) / 320 - k / 0.8) < 0.02 and s <= train for k, s in sizes.items())
+    assert sizes[0.2] < sizes[0.3] < sizes[0.5] and abs(sum(y for _, y in sizes[0.3]) / len(sizes[0.3]) - 0.25) < 0.02
+    got = SP.resplit(splits).groupBy("rep", "share", "split").agg(F.count("*").alias("n")).collect()
+    assert {(r.rep, r.share, r.split): r.n for r in got} == {(rep, s, p): n for rep in (0, 1) for s, p, n in ((0.9, "train", 36), (0.9, "validation", 4), (0.7, "train", 28), (0.7, "validation", 12))}
+
+
+def test_calibration_bands_equal_interpolation(spark):
+    rng = np.random.default_rng(9)
+    data = [(rep, float(s), int(rng.random() < s)) for rep in range(3) for s in rng.beta(2, 3, 80)] + [(0, None, 1)]
+    got = {r.grid_no: r for r in E.calibration_bands(spark.createDataFrame(data, "rep int, score double, label int")).collect()}
+    curves, counts = [], []
+    for rep in range(3):
+        s, y = (np.array([d[k] for d in data if d[0] == rep and d[1] is not None]) for k in (1, 2))
+        at = np.minimum((s * 10).astype(int), 9)
+        bins = sorted(set(at.tolist()))
+        curves.append(np.interp(np.linspace(0, 1, 10), [s[at == b].mean() for b in bins], [y[at == b].mean() for b in bins]))
+        counts.append([(at == b).sum() for b in range(10)])
+    assert [got[k].mean for k in range(10)] == pytest.approx(np.mean(curves, 0).tolist())
+    assert [got[k].std for k in range(10)] == pytest.approx(np.std(curves, 0).tolist())
+    assert [got[k].n_mean for k in range(10)] == pytest.approx(np.mean(counts, 0).tolist()) and [got[k].n_std for k in range(10)] == pytest.approx(np.std(counts, 0).tolist())
