@@ -10,6 +10,7 @@ wording from the block.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -46,8 +47,27 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Proprietary": ("All rights reserved. No part of this work may be reproduced without permission.",),
 }
 
-#: Words of which every template has one; a block without any isn't a candidate.
-CUE = r"(?i)licen[sc]e|copyright|permi(?:ssion|tted)|redistribut|public domain|all rights reserved|creative commons"
+#: Whole license texts, without copyright lines.
+_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+FULL_TEXTS: dict[str, str] = {
+    "MIT": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, '
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    "BSD-3-Clause": _CONDITIONS + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _DISCLAIMER,
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+}
+TEMPLATES = {name: (*TEMPLATES.get(name, ()), *([FULL_TEXTS[name]] if name in FULL_TEXTS else [])) for name in dict.fromkeys([*TEMPLATES, *FULL_TEXTS])}
 
 _WORDS = re.compile(r"[a-z]+(?:[-'][a-z]+)*|\d+(?:\.\d+)*|cc0").findall
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -121,6 +141,25 @@ def _compressors(templates: tuple[tuple[str, str], ...], level: int = 19):
     return made, zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
 
 
+class Bound:
+    """Whether some words can hold a notice at all: of a template at most the tolerated share of words may be missing, and no number.
+
+    Word-by-word comparison never matches more words than the two sides have in
+    common, so nothing that `match` would confirm is ruled out.
+    """
+
+    def __init__(self, templates: tuple[tuple[str, str], ...], tolerance: float) -> None:
+        self.needs = []
+        for _, t in templates:
+            own = words(t)
+            self.needs.append((Counter(own), len(own) - int(tolerance * len(own) + 1e-9), {w for w in own if w[0].isdigit()}))
+        self.words = {w for own, *_ in self.needs for w in own}
+
+    def __call__(self, found: list[str]) -> bool:
+        have = Counter(w for w in found if w in self.words)
+        return any(numbers <= have.keys() and sum(min(n, have[w]) for w, n in own.items() if w in have) >= least for own, least, numbers in self.needs)
+
+
 def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
     """Template words that the block lacks, and block words put between the matched ones."""
     missing, added = [], []
@@ -171,30 +210,31 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, d
     separate ones come out each; null and empty texts have none; repeated rows come out each; a null
     doc_id stays null.  Other columns are dropped.  An empty table gives no rows.
 
-    Texts and blocks that don't match the pattern `cue` are no candidates.  The
-    default holds for this module's templates, each of which matches it; the
-    caller's own templates are looked for everywhere unless they come with a cue.
-    The templates of the `ranked` largest reductions are compared word by word;
+    Texts and blocks with too few words of every template to be within the
+    tolerance are passed over, which loses nothing (see `Bound`); with `cue`, also
+    those that don't match that pattern.  The templates of the `ranked` largest reductions are compared word by word;
     `ranked` = the number of templates compares all.  Nothing is shuffled.
     """
     flat = tuple((name, t) for name, ts in (TEMPLATES if templates is None else templates).items() for t in ts)
     around = max((len(t.split()) for _, t in flat), default=0)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    cue = CUE if cue is None and templates is None else cue
     rows = rows.where(F.col("text").rlike(cue)) if cue else rows
     pattern = re.compile(cue) if cue else None
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, block_no int, block string, license string, template string, alone int, reduction int, missing array<string>, added array<string>"
     types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        possible = Bound(flat, tolerance)
+
         @lru_cache(maxsize=10_000)
         def known(block: str) -> dict | None:
-            return match(block, flat, ranked, tolerance)
+            return match(block, flat, ranked, tolerance) if possible(words(block)) else None
 
         for batch in batches:
             at, found = [], []
             for i, t in enumerate(batch.column(1)):
-                for number, block, got in notices(t.as_py(), known, around, pattern):
+                text = t.as_py()
+                for number, block, got in notices(text, known, around, pattern) if possible(words(text)) else ():
                     at.append(i)
                     found.append((number, block, *[got[c] for c in schema_names[3:]]))
             columns = zip(*found) if found else ([] for _ in types)

@@ -118,3 +118,56 @@ def test_pairs_in_a_crowd_are_found(spark, exact):
         groups.setdefault(c, []).append(i)
     for own in groups.values():  # no component without a link
         assert len(own) == 1 or all(any(len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) for b in own if b != a) for a in own)
+
+
+# --- licenses -------------------------------------------------------------
+
+def licenses_by_all_windows(text, tolerance=0.1):
+    """Names of all templates that some window of words quotes within the tolerance."""
+    own, found = licenses.words(text), set()
+    for name, ts in licenses.TEMPLATES.items():
+        for t in ts:
+            template = licenses.words(t)
+            slack = int(tolerance * len(template))
+            for size in range(len(template) - slack, len(template) + slack + 1):
+                for a in range(max(1, len(own) - size + 1)):
+                    window = own[a : a + size]
+                    if sum((Counter(template) & Counter(window)).values()) < len(template) - slack:
+                        continue
+                    missing, added = licenses.differences(template, window)
+                    if len(missing) + len(added) <= tolerance * len(template) and not any(w[0].isdigit() for w in missing + added):
+                        found.add(name)
+    return found
+
+
+def test_licenses_against_all_windows(spark):
+    """Short and whole texts, edited within and beyond the tolerance, without cue words of any kind."""
+    rng = random.Random(4)
+    texts, exact = [], {}
+    for name, ts in licenses.TEMPLATES.items():
+        for t in ts:
+            words = t.split()
+            for share in (0.0, 0.05, 0.3):
+                new = list(words)
+                for k in rng.sample(range(len(new)), int(share * len(new))):
+                    new[k] = "other"
+                if not share:
+                    exact[len(texts)] = name
+                texts.append(f"{prose(rng, 30)}. {' '.join(new)} {prose(rng, 30)}.")
+    texts += [prose(rng, 80), "the software is provided as is", "permission and license and copyright"]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ranked=100).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    for i, t in enumerate(texts):
+        # of licenses that one block quotes, as GPL and LGPL, only the nearest comes out
+        every = licenses_by_all_windows(t)
+        assert got.get(i, set()) <= every and bool(got.get(i)) == bool(every), t
+        assert i not in exact or exact[i] in got[i]
+
+
+def test_a_notice_without_its_usual_words(spark):
+    text = licenses.TEMPLATES["MIT"][2].replace("Permission", "Authorization")
+    rows = [(1, text), (2, licenses.FULL_TEXTS["MIT"]), (3, licenses.FULL_TEXTS["BSD-3-Clause"]), (5, "Copyright (c) 2020 A. Person\n\n" + licenses.FULL_TEXTS["ISC"])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license for r in got if len(r.template) > 200 or r.doc_id == 1} == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 5: "ISC"}
+    assert next(r for r in got if r.doc_id == 1).missing == ["permission"]
