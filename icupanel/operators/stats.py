@@ -248,7 +248,7 @@ def metric_matrix(rows: DataFrame, row: str, column: str, value: str, columns: S
 def internal_external(rows: DataFrame, train: str, evaluation: str, value: str) -> DataFrame:
     """Per training source: its own metric, the mean on others, and each relative to the evaluation source's own."""
     own = rows.where(F.col(train) == F.col(evaluation)).groupBy(F.col(evaluation).alias("_e")).agg(F.avg(value).alias("_own"))
-    met = rows.join(F.broadcast(own), F.col(evaluation) == F.col("_e"), "left")
+    met = rows.join(own, F.col(evaluation) == F.col("_e"), "left")
     same = F.col(train) == F.col(evaluation)
     return met.groupBy(train).agg(
         F.avg(F.when(same, F.col(value))).alias("internal"), F.avg(F.when(~same, F.col(value))).alias("external"),
