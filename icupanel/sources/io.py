@@ -32,7 +32,8 @@ def load(spark: SparkSession, path: str, ids: Sequence[int] | DataFrame | None =
 
 def one_stay(spark: SparkSession, path: str, stay: int) -> DataFrame:
     """One stay's rows in time order; files sorted by `write_panel` let the scan skip all other row groups."""
-    return spark.read.parquet(path).where(F.col(ID) == stay).orderBy(TIME)
+    rows = spark.read.parquet(path).where(F.col(ID) == stay)
+    return rows.repartition(1).sortWithinPartitions(TIME)  # one stay's rows; orderBy would scan twice to find ranges
 
 
 def write_panel(df: DataFrame, path: str, mode: str = "error", rows_a_group: int = 2000) -> None:
