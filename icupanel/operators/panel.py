@@ -13,11 +13,19 @@ ID, TIME = "stay_id", "stay_time"
 
 
 def to_concepts(events: DataFrame, id: str, ts: str, concept: str, value: str, seconds: int = 3600) -> DataFrame:
-    """Long (stay_id, stay_time, concept, value); stay_time counts whole hours from the stay's first event."""
-    first = events.groupBy(F.col(id).alias("_id")).agg(F.min(ts).alias("_t0"))
+    """Long (stay_id, stay_time, concept, value); stay_time counts whole hours from the stay's first event.
+
+    The rows are dealt by stay, which serves all that goes stay by stay later.
+    """
+    rows = dealt_by_stay(events.where(F.col(id).isNotNull()).select(F.col(id).alias(ID), F.col(ts).alias("_ts"), F.col(concept).alias("concept"), F.col(value).alias("value")))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    hours = F.floor((micros(ts) - micros("_t0")) / (seconds * 1_000_000))
-    return events.join(first, F.col(id) == F.col("_id")).select(F.col(id).alias(ID), hours.cast("long").alias(TIME), F.col(concept).alias("concept"), F.col(value).alias("value"))
+    hours = F.floor((micros("_ts") - micros("_t0")) / (seconds * 1_000_000))
+    return rows.withColumn("_t0", F.min("_ts").over(Window.partitionBy(ID))).select(ID, hours.cast("long").alias(TIME), "concept", "value")
+
+
+def dealt_by_stay(rows: DataFrame) -> DataFrame:
+    """`rows` dealt by stay over as many partitions as shuffles have, a number that isn't merged by size: a panel has many more rows than were shuffled for it."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ID)
 
 
 def stay_bounds(rows: DataFrame) -> DataFrame:
@@ -25,10 +33,24 @@ def stay_bounds(rows: DataFrame) -> DataFrame:
     return rows.groupBy(ID).agg(F.min(TIME).alias("first_time"), F.max(TIME).alias("last_time"))
 
 
-def complete_grid(rows: DataFrame, step: int = 1) -> DataFrame:
-    """Every time from each stay's first to its last, with the rows' columns; missing rows are null."""
-    times = stay_bounds(rows).select(ID, F.explode(F.sequence("first_time", "last_time", F.lit(step).cast("long"))).alias(TIME))
-    return times.join(rows, [ID, TIME], "left")
+def complete_grid(rows: DataFrame, step: int = 1, carried: Sequence[str] = ()) -> DataFrame:
+    """Every time from each stay's first to its last, with the rows' columns; missing rows are null but for the `carried` columns, which keep the row's before.
+
+    Each row is spread up to the next one of its stay, so the grid is neither
+    joined nor shuffled: only `rows` are.
+    """
+    stay, columns = Window.partitionBy(ID), [c for c in rows.columns if c not in (ID, TIME)]
+    placed = rows.where(F.col(TIME).isNotNull()).withColumn("_first", F.min(TIME).over(stay.orderBy(TIME).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    placed = placed.withColumn("_last", F.max(TIME).over(stay.orderBy(TIME).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    if step != 1:
+        placed = placed.where((F.col(TIME) - F.col("_first")) % step == 0)
+    end = F.coalesce(F.lead(TIME).over(stay.orderBy(TIME)), F.col("_last") + 1)
+    # rows without a stay meet no time, so they count once and without values
+    placed = placed.withColumn("_end", end).where(F.col(ID).isNotNull() | (F.col("_end") > F.col(TIME)))
+    until = F.greatest(F.col(TIME), F.col("_end") - 1).cast("long")
+    own = (F.col("_at") == F.col(TIME)) & F.col(ID).isNotNull()
+    spread = placed.select(ID, TIME, *columns, F.explode(F.sequence(F.col(TIME).cast("long"), until, F.lit(step).cast("long"))).alias("_at"))
+    return spread.select(ID, F.col("_at").alias(TIME), *[F.when(F.col(ID).isNotNull() if c in carried else own, F.col(c)).alias(c) for c in columns])
 
 
 def to_panel(concepts: DataFrame, names: dict[str, str], grid: bool = True) -> DataFrame:

@@ -121,7 +121,7 @@ def bootstrap_means(values: DataFrame, draws: DataFrame, columns: list[str]) ->
 
 def bootstrap(rows: DataFrame, draws: DataFrame) -> DataFrame:
     """Rows repeated once for each draw of their stay, under the draw's own unit_id."""
-    return draws.select("unit_id", F.col(ID).alias("_id")).join(rows, F.col("_id") == F.col(ID)).drop("_id")
+    return rows.join(draws.select("unit_id", F.col(ID).alias("_id")).hint("shuffle_hash"), F.col("_id") == F.col(ID)).select("unit_id", *rows.columns)
 
 
 def split_checks(splits: DataFrame) -> DataFrame:

@@ -138,8 +138,7 @@ sums AS (SELECT sum(CASE WHEN pred = 1 THEN u1 ELSE u0 END) AS observed, sum(CAS
 @query("SELECT round(observed, 4) AS observed, round(best, 4) AS best, round(inaction, 4) AS inaction, round((observed - inaction) / (best - inaction), 6) AS normalised FROM sums", PREDICTIONS + _ONLINE)
 def online_utility(spark, d):
     """Utility of alarms in measured hours only: gaps are filled with nulls, labels moved six hours forward."""
-    raw = filled(spark, d).select("stay_id", "stay_time", "hr_raw", "temp_raw")
-    seen = predictions(spark, d).join(raw, ["stay_id", "stay_time"]).where("hr_raw IS NOT NULL OR temp_raw IS NOT NULL")
+    seen = predictions(spark, d, ("hr_raw", "temp_raw")).where("hr_raw IS NOT NULL OR temp_raw IS NOT NULL")
     out = online.online_score(seen.select("stay_id", "stay_time", "label"), seen.select("stay_id", "stay_time", (F.col("score") >= 0.5).cast("int").alias("prediction")), shift_left=6)
     return out.select(*[F.round(c, 6 if c == "normalised" else 4).alias(c) for c in out.columns])
 
@@ -180,7 +179,7 @@ vals AS (SELECT grid_no, pos, n, CASE WHEN hi.x > lo.x THEN lo.y + (pos - lo.x)
 def calibration_bands(spark, d):
     """Reliability of a score over the repetitions' training stays: mean and deviation at even points."""
     parts = SP.stratified_split(stays(spark, d)).where("split = 'train'").select(F.col("stay_id").alias("_id"), "rep")
-    rows = once(predictions(spark, d), "predictions").join(parts, F.col("stay_id") == F.col("_id"))
+    rows = predictions(spark, d).join(parts.hint("shuffle_hash"), F.col("stay_id") == F.col("_id"))
     return rounded(E.calibration_bands(rows))
 
 
