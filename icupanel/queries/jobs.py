@@ -285,7 +285,7 @@ def path_signature(spark, d):
 
 def _model_rows(spark, d):
     folds = SP.folds(stays(spark, d), 3).select(F.col("stay_id").alias("_id"), "fold")
-    rows = filled(spark, d).withColumnRenamed("sep3", "label").join(folds, F.col("stay_id") == F.col("_id")).drop("_id")
+    rows = filled(spark, d).withColumnRenamed("sep3", "label").join(folds.hint("shuffle_hash"), F.col("stay_id") == F.col("_id")).drop("_id")
     return rows.select("stay_id", "stay_time", "label", "fold", "hr_locf", "map_locf", "temp_locf")
 
 
@@ -305,7 +305,7 @@ def search_refit(spark, d):
     rows, grid = once(_model_rows(spark, d), "model-rows"), {"regParam": [0.0, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5], "maxIter": [5]}
     points = M.grid_points(grid, 3)
     best = M.best_point(M.search(rows, "logistic", _FEATURES, grid, "fold", n=3), points)
-    return spark.createDataFrame(M.refit(rows, once(SP.stratified_split(stays(spark, d), reps=3), "splits"), "logistic", _FEATURES, best), "rep int, validation double, test double")
+    return spark.createDataFrame(M.refit(rows, once(SP.stratified_split(stays(spark, d), reps=3), "splits"), "logistic", _FEATURES, best, kept=lambda df: once(df, "refit-rows")), "rep int, validation double, test double")
 
 
 _FIT = SPLITS + """, part AS (SELECT p.stay_id, p.stay_time, hr_raw, temp_raw, last_value(hr_raw IGNORE NULLS) OVER w AS hr_locf, last_value(temp_raw IGNORE NULLS) OVER w AS temp_locf, split FROM panel p JOIN splits s ON p.stay_id = s.stay_id AND rep = 0 WINDOW w AS (PARTITION BY p.stay_id ORDER BY stay_time ROWS UNBOUNDED PRECEDING)),
