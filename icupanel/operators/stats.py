@@ -17,7 +17,7 @@ ID, TIME = "stay_id", "stay_time"
 
 def normaliser(panel: DataFrame, columns: Sequence[str], ids: DataFrame | None = None, eps: float | None = 0.01) -> DataFrame:
     """(column, mean, std) over the given stays' rows; a deviation below `eps` becomes 1, a null one stays null."""
-    rows = panel if ids is None else panel.join(ids.select(ID), ID, "left_semi")
+    rows = panel if ids is None else panel.join(ids.select(ID).hint("shuffle_hash"), ID, "left_semi")
     one = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)])
     std = lambda i: F.when(F.col(f"s{i}") < eps, 1.0).otherwise(F.col(f"s{i}")) if eps is not None else F.col(f"s{i}")
     long = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"), std(i).alias("std")) for i, c in enumerate(columns)]))
@@ -144,7 +144,7 @@ def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int,
 
 
 def _in_splits(panel: DataFrame, splits: DataFrame, columns: Sequence[str]) -> DataFrame:
-    met = splits.select("rep", "split", F.col(ID).alias("_id")).join(panel.select(ID, *columns), F.col("_id") == F.col(ID))
+    met = panel.select(ID, *columns).join(splits.select("rep", "split", F.col(ID).alias("_id")).hint("shuffle_hash"), F.col("_id") == F.col(ID))
     return met.unpivot(["rep", "split"], list(columns), "variable", "v")
 
 
@@ -275,8 +275,10 @@ def paired_tests(rows: DataFrame, a: str, b: str) -> DataFrame:
     d = rows.select((F.col(a) - F.col(b)).alias("d")).where("d is not null")
     t = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_difference"), (F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("*")))).alias("t"))
     sized = d.where("d <> 0").select(F.abs("d").alias("size"), (F.col("d") > 0).alias("up")).groupBy("size").agg(F.count("*").alias("k"), F.count_if("up").alias("ups"))
-    ranked = running_sums(sized, "size", ["k"]).withColumn("rank", F.col("k_sum") - F.col("k") + (F.col("k") + 1) / 2)
-    w = ranked.agg(F.sum(F.col("ups") * F.col("rank")).alias("w"), F.sum("k").alias("m"))
+    # twice the mean ranks are whole numbers; products of counts go beyond 64 bits
+    whole = lambda c: c.cast("decimal(19,0)")
+    twice = running_sums(sized, "size", ["k"]).withColumn("twice", whole(F.col("ups")) * whole(2 * F.col("k_sum") - F.col("k") + 1))
+    w = twice.agg((F.sum("twice").cast("double") / 2).alias("w"), F.sum("k").cast("double").alias("m"))
     z = (F.col("w") - F.col("m") * (F.col("m") + 1) / 4) / F.sqrt(F.col("m") * (F.col("m") + 1) * (2 * F.col("m") + 1) / 24)
     return t.join(w, F.lit(True)).withColumn("z", z).withColumn("p", normal_tail(F.col("z"))).drop("m")
 
@@ -296,7 +298,7 @@ def paired_tests_by(rows: DataFrame, a: str, b: str, by: Sequence[str] = ()) ->
     tested = per.withColumn("t", t).withColumn("p_t", probability.t_two_sided(F.col("t"), F.col("n") - 1))
     sized = d.where("d <> 0").groupBy(*by, F.abs("d").alias("size")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("ups"))
     ranked = running_sums(sized, "size", ["k"], by).withColumn("rank", F.col("k_sum") - (F.col("k") - 1) / 2)
-    k, m = F.col("k"), F.col("m")
+    k, m = F.col("k").cast("double"), F.col("m").cast("double")  # cubes of counts go beyond 64 bits
     sums = ranked.groupBy(*[F.col(c).alias(f"_w_{c}") for c in by]).agg(F.sum(F.col("ups") * F.col("rank")).alias("w"), F.sum("k").alias("m"), F.sum(k * k * k - k).alias("_ties"))
     on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in by], F.lit(True))
     both = tested.join(sums, on, "left").withColumn("m", F.coalesce("m", F.lit(0)))
