@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +96,16 @@ def first_alarms_by_time(events: DataFrame, cut: float, id: str = "user_id", ts:
 HOUR = 3_600_000_000
 
 
+def _hours(start: int, end: int, means: dict[tuple[int, int], float], held: Sequence[float | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Means by (hour, column) as an array from hour `start` to before `end`, and the same with the last value carried on, first from `held`; NaN is missing."""
+    raw = np.full((end - start, len(held)), np.nan)
+    for (h, c), v in means.items():
+        raw[h - start, c] = v
+    whole = np.vstack([np.array(held, dtype=float), raw])
+    last = np.maximum.accumulate(np.where(np.isnan(whole), 0, np.arange(len(whole))[:, None]), axis=0)
+    return raw, np.take_along_axis(whole, last, axis=0)[1:]
+
+
 def hourly_grid(events: DataFrame, names: dict[str, str], id: str = "user_id", ts: str = "ts", concept: str = "event_type", value: str = "value", late: str = "2 hours", forget_ms: int = 30 * 86_400_000) -> DataFrame:
     """(stay_id, stay_time, …raw, …locf): the panel's complete hourly grid, hour by hour as the watermark closes them.
 
@@ -129,31 +140,33 @@ def hourly_grid(events: DataFrame, names: dict[str, str], id: str = "user_id", t
         if not waiting:
             state.remove()
             return
-        if first is None and min(waiting)[0] // 1000 <= now:
-            first = min(waiting)[0]  # whatever comes from now on is later
-        told = []
+        least, most = min(w[0] for w in waiting), max(w[0] for w in waiting)
+        if first is None and least // 1000 <= now:
+            first = least  # whatever comes from now on is later
+        told = None
         if first is not None:
-            closed = min((now * 1000 - first) // HOUR, (max(waiting)[0] - first) // HOUR + 1)
+            closed = min((now * 1000 - first) // HOUR, (most - first) // HOUR + 1)
             open_, by_hour = [], {}
             for us, c, v in waiting:
                 h = (us - first) // HOUR
                 if h >= closed:
                     open_.append((us, c, v))
-                elif c >= 0 and v is not None:
-                    by_hour.setdefault(h, {}).setdefault(c, []).append(v)
-            for h in range(hour, closed):
-                means = [sum(x) / len(x) if (x := by_hour.get(h, {}).get(c)) else None for c in range(len(raw))]
-                held = [a if m is None else m for m, a in zip(means, held)]
-                told.append((key[0], h, *means, *held))
+                elif c >= 0 and v is not None and h >= hour:
+                    by_hour.setdefault((h, c), []).append(v)
+            if closed > hour:
+                told = _hours(hour, closed, {at: sum(x) / len(x) for at, x in by_hour.items()}, held)
+                held = [None if v != v else v for v in told[1][-1].tolist()]
             hour, waiting = max(hour, closed), open_
         if waiting:
-            due = min(waiting)[0] // 1000 if first is None else (first + (hour + 1) * HOUR) // 1000 + 1
+            due = min(w[0] for w in waiting) // 1000 if first is None else (first + (hour + 1) * HOUR) // 1000 + 1
         else:
             due = (first + hour * HOUR) // 1000 + forget_ms
         state.update((first, hour, held, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
         _wake(state, due)
-        if told:
-            yield pd.DataFrame(told, columns=["stay_id", "stay_time", *raw, *locf]).astype({c: "float64" for c in [*raw, *locf]})
+        if told is not None:
+            n = len(told[0])
+            times = {"stay_id": np.full(n, key[0]), "stay_time": np.arange(hour - n, hour)}
+            yield pd.DataFrame(times | {c: v[:, k] for v, names_ in zip(told, (raw, locf)) for k, c in enumerate(names_)})
 
     out = "stay_id long, stay_time long, " + ", ".join(f"{c} double" for c in [*raw, *locf])
     kept = "first long, hour long, held array<double>, at array<long>, what array<int>, value array<double>"
