@@ -126,7 +126,7 @@ def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     known = durable(signed(rows, common_shingles(rows, words_per_shingle), similarity, words_per_shingle))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     firsts = durable(known.groupBy("node").agg(F.min(place).alias("first")))
-    met = known.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select(F.col("node").alias("id"), "n", F.explode("keys").alias("key"))
+    met = known.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select(F.col("node").alias("id"), "n", F.posexplode("keys").alias("at", "key"))
     counts = durable(known.groupBy("node").agg(F.first("counts").alias("counts")))
 
     def verify(pairs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from icupanel.llm import copies
+from icupanel.llm.common import bucket_components
 from tests.llm.test_operators import DOCS, components, prose, slow_fingerprint
 
 
@@ -95,3 +96,17 @@ def test_histogram_bound_loses_nothing():
             passed += likeness < 0.5 and may
         assert n < 40 or passed <= 0.1 * unlike
     assert copies.may_be_similar(b"", copies.histogram(base), 0.8)
+
+
+def test_late_meetings_are_not_verified(spark):
+    """Sets whose first common element comes too late in both are no pair; those that meet early are."""
+    seen = []
+
+    def verify(pairs):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return pairs
+
+    late, early = [(i, 10, 7, 2) for i in range(40)], [(i, 10, 8, 1) for i in (50, 51)]
+    met = spark.createDataFrame(late + early, "id long, n int, key long, at int")
+    labels = bucket_components(met, verify, 0.8)
+    assert set(seen) == {(50, 51)} and {tuple(r) for r in labels.collect()} == {(50, 50), (51, 50)}

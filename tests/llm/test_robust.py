@@ -171,3 +171,15 @@ def test_a_notice_without_its_usual_words(spark):
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.license for r in got if len(r.template) > 200 or r.doc_id == 1} == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 5: "ISC"}
     assert next(r for r in got if r.doc_id == 1).missing == ["permission"]
+
+
+def test_no_pair_in_a_crowd_is_dropped(spark, monkeypatch):
+    """Every pair just above similarity 0.8 in one crowded band is found without any switch."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [t for own in (letters(152) for _ in range(400)) for t in (own + letters(18), own + letters(18))]
+    monkeypatch.setattr(lines, "band_keys", lambda d: d.select("line_id", F.lit(1).cast("long").alias("key")))
+    got = {r.doc_id: r.component_id for r in lines.near_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    grams = [{t.encode()[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    near = [k for k in range(0, len(texts), 2) if len(grams[k] & grams[k + 1]) >= 0.8 * len(grams[k] | grams[k + 1])]
+    assert len(near) > 350 and all(got[k] == got[k + 1] for k in near)
