@@ -26,7 +26,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words a shingle, Jaccard similarity 0.8 or more."""
+    """One document of each group of near copies: SimHash links, five-word Jaccard similarity 0.8 or more; what SimHash misses, by an exact filter."""
     return copies.keep_one_per_group(docs)
 
 

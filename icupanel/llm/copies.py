@@ -1,6 +1,10 @@
-"""Near copies by exact similarity: word shingles, prefix filter, union-find.
+"""Near copies: SimHash links, verified by exact similarity, completed by a prefix filter, union-find.
 
-Two sets of which each shares at least a part `similarity` of itself with the
+Fingerprints within a small Hamming radius are linked by `simhash.link`, the
+generalised pigeonhole search; each link stands if the texts' sets of word
+shingles are as similar as asked.  Edited texts of that similarity may be further
+apart than the radius, so what SimHash has not connected is met once more under
+shingles, by a filter that misses no pair: two sets of which each shares at least a part `similarity` of itself with the
 other have an element in common among the first n - ceil(similarity * n) + 1 of
 each, whatever the order of elements, as long as it is the same for both.  So
 every pair of similar texts meets in a bucket, at any size of the corpus; the
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 
 from icupanel.llm.common import beside, bucket_components, durable
 from icupanel.llm.decontaminate import shingle_hashes
+from icupanel.llm.simhash import fingerprint, link
 
 SEED = 43
 
@@ -75,18 +80,19 @@ def common_shingles(rows: DataFrame, words_per_shingle: int, one_in: int = 32, l
 
 
 def signed(rows: DataFrame, common: np.ndarray, similarity: float, words_per_shingle: int) -> DataFrame:
-    """(doc_id, hash, node, n, counts, keys): hash tells texts apart, node sets of shingles; n is the set's size, counts its histogram, keys its prefix."""
+    """(doc_id, hash, node, fp, n, counts, keys): hash tells texts apart, node sets of shingles; fp is the text's SimHash, n the set's size, counts its histogram, keys its prefix."""
     known = rows.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common)))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, places = known.value
         for batch in batches:
-            nodes, sizes, counts, keys = [], [], [], []
+            nodes, fps, sizes, counts, keys = [], [], [], [], []
             for t in batch.column(2):
                 s = shingle_set(t.as_py(), words_per_shingle)
                 n = len(s)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                fps.append(fingerprint(t.as_py()))
                 sizes.append(n)
                 counts.append(histogram(s))
                 take = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
@@ -97,10 +103,20 @@ def signed(rows: DataFrame, common: np.ndarray, similarity: float, words_per_shi
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "hash", "node", "n", "counts", "keys"])
+                [batch.column(0), batch.column(1), *[pa.array(np.array(v, np.uint64).view(np.int64)) for v in (nodes, fps)], pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "hash", "node", "fp", "n", "counts", "keys"])
 
-    return rows.select("doc_id", "hash", "text").mapInArrow(sign, f"doc_id {kind}, hash long, node long, n int, counts binary, keys array<long>")
+    return rows.select("doc_id", "hash", "text").mapInArrow(sign, f"doc_id {kind}, hash long, node long, fp long, n int, counts binary, keys array<long>")
+
+
+def simhash_pairs(known: DataFrame, radius: int) -> DataFrame:
+    """(a, b): nodes whose fingerprints are equal or linked, one of each fingerprint standing for all of it."""
+    own = durable(known.select("node", "fp").distinct())
+    heads = durable(own.groupBy("fp").agg(F.min("node").alias("head")))
+    equal = own.join(heads, "fp").select(F.col("node").alias("x"), F.col("head").alias("y"))
+    side = lambda c, x: heads.select(F.col("fp").alias(c), F.col("head").alias(x))
+    near = link(heads.select("fp"), radius).join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
+    return equal.unionByName(near).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -112,10 +128,11 @@ def _without(marked: DataFrame, gone: DataFrame) -> DataFrame:
     return marked.join(_small(gone), F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_hash")), "left_anti")
 
 
-def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 2) -> DataFrame:
     """One row of each component of rows whose sets of word shingles have at least the given Jaccard similarity.
 
-    Links are exact and complete; sets are told apart by 64-bit hashes.  Of a
+    Links within `radius` bits of SimHash come first, the others by the prefix
+    filter; all are verified, so they are exact and complete, whatever the radius.  Sets are told apart by 64-bit hashes.  Of a
     component the row with the smallest doc_id stays, null ids last, then by the
     text's hash; of rows equal in both one stays.  Texts without words are copies
     of each other, null ones among them.  A text of any length is signed whole.
@@ -151,7 +168,7 @@ def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").where(similar("text_a", "text_b")).select("a", "b").distinct()
 
-    labels = bucket_components(met, verify, similarity)
+    labels = bucket_components(met, verify, similarity, rounds=1, most_rounds=1, first=simhash_pairs(known, radius))
     members = labels.join(firsts, "node").select("node", "component", "first")
     best = members.groupBy("component").agg(F.min("first").alias("best"))
     heads = firsts.join(members.join(best, "component").select(F.col("node").alias("_n"), "best"), F.col("node") == F.col("_n"), "left")

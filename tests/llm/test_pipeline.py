@@ -110,3 +110,39 @@ def test_late_meetings_are_not_verified(spark):
     met = spark.createDataFrame(late + early, "id long, n int, key long, at int")
     labels = bucket_components(met, verify, 0.8)
     assert set(seen) == {(50, 51)} and {tuple(r) for r in labels.collect()} == {(50, 50), (51, 50)}
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """Near copies are linked by SimHash fingerprints; without the prefix filter those within the radius are still one row."""
+    rng = random.Random(41)
+    base = prose(rng, 400, 4000).split()
+    texts = [" ".join(base[:k] + [f"e{k}"] + base[k + 1 :]) for k in range(0, 400, 40)] + [prose(rng, 60, 4000) for _ in range(5)]
+    fps = [slow_fingerprint(t) for t in texts]
+    classes = components(list(range(len(texts))), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
+    assert len(set(classes.values())) < len(texts)
+    monkeypatch.setattr(copies, "bucket_components", lambda met, *a, **k: bucket_components(met.where("false"), *a, **k))
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS), "")
+    assert {r.doc_id for r in kept.collect()} == set(classes.values())
+
+
+def test_edited_copies_meet_in_few_pairs(spark, monkeypatch):
+    """A group of edited copies, half of them too far from all others, is gone through in few pairs a text, not all of them."""
+    rng = random.Random(43)
+    base = prose(rng, 150, 4000).split()
+    texts = [" ".join(base)]
+    for i in range(400):
+        w = list(base)
+        for k in rng.sample(range(150), 2 + i % 8):
+            w[k] = f"e{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    seen = []
+
+    def counted(met, verify, *a, **k):
+        def watch(pairs):
+            seen.append(pairs.count())
+            return verify(pairs)
+        return bucket_components(met, watch, *a, **k)
+
+    monkeypatch.setattr(copies, "bucket_components", counted)
+    corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS), "").count()
+    assert sum(seen) <= 10 * len(texts), seen
