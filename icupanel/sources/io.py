@@ -46,8 +46,17 @@ def write_split_cache(df: DataFrame, path: str, by: Sequence[str] = ("split", "r
 
 
 def read_psv(spark: SparkSession, path: str, schema: str, id_pattern: str = r"p(\d+)\.psv$") -> DataFrame:
-    """Pipe-separated files of one patient each, the id parsed from the file's path by `id_pattern`; NaN is missing."""
-    df = spark.read.csv(path, sep="|", header=True, schema=schema, nullValue="NaN", nanValue="", recursiveFileLookup=True)
+    """Pipe-separated files of one patient each, the id parsed from the file's path by `id_pattern`; NaN is missing.
+
+    Many folders are listed by a few tasks a core: Spark's default is a task a folder.
+    """
+    tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(tasks)
+    spark.conf.set(tasks, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        df = spark.read.csv(path, sep="|", header=True, schema=schema, nullValue="NaN", nanValue="", recursiveFileLookup=True)
+    finally:
+        spark.conf.set(tasks, before)
     return df.withColumn(ID, F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).cast("long"))
 
 

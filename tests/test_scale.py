@@ -8,6 +8,7 @@ from icupanel.operators import panel as P
 from icupanel.operators import stats as ST
 from icupanel.plans import models as M
 from icupanel.queries import base, jobs
+from icupanel.sources import io
 
 DIR = "/root/testdata/sf0.001"
 
@@ -80,3 +81,19 @@ def test_isotonic_takes_a_row_a_score(spark):
             a, n, xs = blocks.pop()
             blocks[-1] = [blocks[-1][0] + a, blocks[-1][1] + n, blocks[-1][2] + xs]
     assert all(abs(got[s] - a / n) < 1e-9 for a, n, xs in blocks for s in xs)
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """A hundred folders of a patient each take no task a folder, and the session's setting stays."""
+    for k in range(100):
+        (tmp_path / f"psv/stay_id={k}").mkdir(parents=True)
+        (tmp_path / f"psv/stay_id={k}/x.csv").write_text(f"stay_time|v\n{k}|NaN\n")
+    key, sc = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext
+    before = spark.conf.get(key)
+    sc.setJobGroup("listing", "listing")
+    got = io.read_psv(spark, str(tmp_path / "psv"), "stay_time long, v double", r"stay_id=(\d+)/")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 4 * sc.defaultParallelism < 100 and spark.conf.get(key) == before
+    assert sorted((r.stay_id, r.stay_time, r.v) for r in got.collect()) == [(k, k, None) for k in range(100)]
