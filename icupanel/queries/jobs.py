@@ -295,7 +295,8 @@ _FEATURES = ["hr_locf", "map_locf", "temp_locf"]
 @query()
 def logistic_cv(spark, d):
     """Cross-validated logistic regression: one row a grid point with its mean area under ROC."""
-    cv = M.search(once(_model_rows(spark, d), "model-rows"), "logistic", _FEATURES, {"regParam": [0.0, 0.1], "maxIter": [5]}, "fold")
+    rows = once(M.counted(_model_rows(spark, d), _FEATURES, ["label", "fold"]), "counted-rows")
+    cv = M.search(rows, "logistic", _FEATURES, {"regParam": [0.0, 0.1], "maxIter": [5]}, "fold", weight="weight")
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(cv.avgMetrics)], "point int, auroc double")
 
 

@@ -97,3 +97,16 @@ def test_folders_are_listed_by_few_tasks(spark, tmp_path):
     tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
     assert tasks and max(tasks) <= 4 * sc.defaultParallelism < 100 and spark.conf.get(key) == before
     assert sorted((r.stay_id, r.stay_time, r.v) for r in got.collect()) == [(k, k, None) for k in range(100)]
+
+
+def test_search_over_counted_rows(spark, monkeypatch):
+    """Distinct rows with their numbers are fitted and judged as all rows are; the query searches those."""
+    rows = spark.range(6000).select(F.col("id").alias("stay_id"), (F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 5 > 0, (F.col("id") % 5).cast("double")).alias("y"), F.when(F.pmod(F.xxhash64("id"), F.lit(10)) < F.col("id") % 7, 1.0).otherwise(0.0).alias("label"))
+    grid = {"regParam": [0.0, 0.1], "maxIter": [5]}
+    few = M.counted(rows, ["x", "y"], ["label", "fold"])
+    assert few.agg(F.sum("weight")).first()[0] == 6000 and few.count() <= 210
+    one, two = M.search(rows, "logistic", ["x", "y"], grid, "fold").avgMetrics, M.search(few, "logistic", ["x", "y"], grid, "fold", weight="weight").avgMetrics
+    assert max(abs(a - b) for a, b in zip(one, two)) < 1e-3
+    seen, search = [], M.search
+    monkeypatch.setattr(M, "search", lambda rows, *a, **k: seen.append(rows) or search(rows, *a, **k))
+    assert jobs.logistic_cv(spark, DIR).count() == 2 and seen[0].count() < base.panel(spark, DIR).count() / 2
