@@ -114,15 +114,22 @@ def _named(step: Step, run: Callable[[], DataFrame]) -> DataFrame:
         raise RuntimeError(f"in step {step.name}") from e
 
 
-def fit(rows: DataFrame, steps: Sequence[tuple[str, str, dict]]) -> Fitted:
-    """Steps given as (name, kind, options), each fitted on what the ones before make of `rows`."""
-    made, states = [], []
+def fit(rows: DataFrame, steps: Sequence[tuple[str, str, dict]], kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> Fitted:
+    """Steps given as (name, kind, options), each fitted on what the ones before make of `rows`.
+
+    `kept` may store the rows that steps without a state have made before the
+    next one is fitted; else every later fit goes through their windows again.
+    """
+    made, states, changed = [], [], False
     for name, kind, options in steps:
         if kind not in KINDS:
             raise ValueError(f"step {name}: no kind {kind}; there are {', '.join(sorted(KINDS))}")
         step = Step(name, kind, dict(options))
+        if KINDS[kind].fit and changed:
+            rows, changed = _named(step, lambda: kept(rows)), False
         state = _named(step, lambda: KINDS[kind].fit(rows, **options)) if KINDS[kind].fit else None
         rows = _named(step, lambda: KINDS[kind].apply(rows, state, **options))
+        changed |= KINDS[kind].fit is None
         made.append(step)
         states.append(state)
     return Fitted(tuple(made), tuple(states))

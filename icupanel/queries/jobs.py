@@ -327,7 +327,7 @@ def fitted_pipeline(spark, d):
     columns = ["hr_locf", "temp_locf"]
     made = fitted.fit(of("train"), [
         ("carry on", "locf", {"columns": ["hr_raw", "temp_raw"]}), ("only these", "select", {"columns": ["stay_id", "stay_time", *columns]}), ("fill", "impute_median", {"columns": columns}),
-        ("clip", "clip", {"columns": columns, "low": 0.02, "high": 0.98}), ("normalise", "zscore", {"columns": columns})])
+        ("clip", "clip", {"columns": columns, "low": 0.02, "high": 0.98}), ("normalise", "zscore", {"columns": columns})], kept=lambda df: once(df, "carried"))
     path = scratch(spark, "pipeline")
     made.save(path)
     return rounded(fitted.load(spark, path).transform(of("test")))

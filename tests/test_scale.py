@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from icupanel.operators import panel as P
 from icupanel.operators import stats as ST
+from icupanel.plans import fitted
 from icupanel.plans import models as M
 from icupanel.queries import base, jobs
 from icupanel.sources import io
@@ -110,3 +111,14 @@ def test_search_over_counted_rows(spark, monkeypatch):
     seen, search = [], M.search
     monkeypatch.setattr(M, "search", lambda rows, *a, **k: seen.append(rows) or search(rows, *a, **k))
     assert jobs.logistic_cv(spark, DIR).count() == 2 and seen[0].count() < base.panel(spark, DIR).count() / 2
+
+
+def test_windows_run_once_in_a_fit(spark, monkeypatch):
+    """Rows are stored after the windows and before the first fitted step; states are the same as without."""
+    rows = spark.createDataFrame([(i, t, float(i + t) if t % 2 else None) for i in range(9) for t in range(8)], "stay_id long, stay_time long, a_raw double")
+    steps = [("carry on", "locf", {"columns": ["a_raw"]}), ("only these", "select", {"columns": ["stay_id", "a_locf"]}), ("fill", "impute_median", {"columns": ["a_locf"]}), ("normalise", "zscore", {"columns": ["a_locf"]})]
+    stored = []
+    made = fitted.fit(rows, steps, kept=lambda df: stored.append(df) or base.once(df, "test-carried"))
+    assert [df.columns for df in stored] == [["stay_id", "a_locf"]] and "Window" in plan(stored[0]) and "Window" not in plan(made.states[-1])
+    plain = fitted.fit(rows, steps)
+    assert [s and s.collect() for s in made.states] == [s and s.collect() for s in plain.states]
