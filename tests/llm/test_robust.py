@@ -120,6 +120,45 @@ def test_pairs_in_a_crowd_are_found(spark, exact):
         assert len(own) == 1 or all(any(len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) for b in own if b != a) for a in own)
 
 
+def test_unlike_lines_of_a_crowd_are_not_fetched(spark, monkeypatch):
+    """Of hundreds of lines with a common passage only those that may be similar are verified on their texts."""
+    rng, tried, found = random.Random(9), [], lines.links
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    shared = " ".join(word() for _ in range(12))
+    texts = [f"{shared} {' '.join(word() for _ in range(60))}" for _ in range(300)]
+    texts += [f"{t} end" for t in texts[:20]]
+
+    def watch(texts, pairs, similarity):
+        tried.append(pairs.count())
+        return found(texts, pairs, similarity)
+
+    monkeypatch.setattr(lines, "links", watch)
+    got = {r.doc_id: r.component_id for r in lines.near_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[k] == got[300 + k] for k in range(20)) and len(set(got.values())) == 300
+    assert sum(tried) <= 40
+
+
+@pytest.mark.parametrize("size", [30, 200, 395, 440, 890, 980, 1990, 3000])
+def test_sketches_rule_out_unlike_lines_only(spark, size):
+    """Sketches let all similar lines by, on both sides of the sizes where sketches grow, and few unlike ones."""
+    rng = random.Random(size)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for _ in range(30):
+        t = text(size)
+        rows += [(t, t + text(max(1, size // 5))), (t, t[: size * 9 // 10] + text(size // 11)), (t, text(size))]
+    known = spark.createDataFrame([(2 * k + side, t) for k, pair in enumerate(rows) for side, t in enumerate(pair)], "line_id long, line string")
+    signs = lines.sketches(known.unionByName(known.limit(7)))  # repeated lines count once
+    side = lambda c: signs.select((F.col("id") / 2).cast("int").alias("k"), F.col("id"), F.struct("*").alias(c)).where(F.col("id") % 2 == int(c == "b"))
+    got = {r.k: r for r in side("a").drop("id").join(side("b").drop("id"), "k").select("k", "a.n", F.col("b.n").alias("m"), lines.may_be_similar("a.", "b.", 0.8).alias("may")).collect()}
+    grams = lambda t: {t.encode()[i : i + 5] for i in range(max(1, len(t) - 4))}
+    similar = {k: len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)) for k, (a, b) in enumerate(rows)}
+    assert len(got) == len(rows) and sum(similar.values()) >= 30
+    assert all((got[k].n, got[k].m) == (len(grams(a)), len(grams(b))) for k, (a, b) in enumerate(rows))
+    assert all(got[k].may for k in got if similar[k])
+    assert size > 2000 or sum(got[k].may for k in got if k % 3 == 2) == 0
+
+
 # --- licenses -------------------------------------------------------------
 
 def licenses_by_all_windows(text, tolerance=0.1):
