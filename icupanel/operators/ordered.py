@@ -7,6 +7,7 @@ each bucket what comes before it, and windows run inside the buckets only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,24 +28,36 @@ def _met(dealt: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
     return dealt.join(F.broadcast(offsets) if not by else offsets, on).drop("_k", *[f"_k_{c}" for c in by])
 
 
+def bucketed(df: DataFrame, order: str, by: Sequence[str], buckets: int, sample: int = 4096) -> DataFrame:
+    """`df` with `_bucket`, rising with `order` within `by`.
+
+    The cuts come from at most `sample` values a group, in each class of a hash the
+    one with the least hash.  They depend on the values alone: the plan is run
+    for the buckets' sums and once more for the rows, and approximate
+    quantiles, which change with the order in which parts arrive, would deal rows otherwise there.
+    """
+    hash_ = F.xxhash64(F.col(order).cast("double"), F.lit(7))
+    slot = F.pmod(F.xxhash64(F.col(order).cast("double")), F.lit(sample))
+    one = df.where(F.col(order).isNotNull()).groupBy(*by, slot.alias("_slot")).agg(F.min_by(F.col(order).cast("double"), hash_).alias("_v"))
+    drawn = one.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_all"))
+    place = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda k: F.get("_all", F.floor(k * F.size("_all") / buckets).cast("int")))
+    cuts = drawn.select(*[F.col(c).alias(f"_c_{c}") for c in by], place.alias("_cuts"))
+    if by:
+        on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in by])
+        dealt = df.join(cuts, on).drop(*[f"_c_{c}" for c in by])
+    else:
+        known = cuts.first()
+        dealt = df.withColumn("_cuts", F.array(*[F.lit(float(c)) for c in sorted(set(known._cuts if known else []))]).cast("array<double>"))
+    return dealt.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+
+
 def running_sums(df: DataFrame, order: str, columns: Sequence[str], by: Sequence[str] = (), descending: bool = False, buckets: int = 64) -> DataFrame:
     """`df` with `<column>_sum` (over this and all rows before it) and `<column>_all`; `order` is numeric and distinct within `by`.
 
-    Buckets are cut at approximate quantiles of `order`, so they hold about the
+    Buckets are cut at quantiles of a sample of `order`, so they hold about the
     same number of rows whatever the distribution.
     """
-    if by:
-        cuts = df.groupBy(*by).agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 1000).alias("_cuts"))
-        on = None
-        renamed = cuts.withColumnsRenamed({c: f"_c_{c}" for c in by})
-        for c in by:
-            one = F.col(c).eqNullSafe(F.col(f"_c_{c}"))
-            on = one if on is None else on & one
-        dealt = df.join(renamed, on).drop(*[f"_c_{c}" for c in by])
-    else:
-        known = df.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 1000).alias("c")).first().c
-        dealt = df.withColumn("_cuts", F.array(*[F.lit(float(c)) for c in sorted(set(known or []))]).cast("array<double>"))
-    dealt = dealt.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    dealt = bucketed(df, order, by, buckets)
     offsets = _offsets(dealt, by, {c: F.sum(c) for c in columns}, descending)
     inside = Window.partitionBy(*by, "_bucket").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
     out = _met(dealt, offsets, by)

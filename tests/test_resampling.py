@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from icupanel.functions import probability as PR
 from icupanel.functions import targets as T
 from icupanel.operators import evaluate as E
-from icupanel.operators import online
+from icupanel.operators import online, ordered
 from icupanel.operators import splits as SP
 from icupanel.operators import stats as ST
 from icupanel.plans import models as M
@@ -212,6 +212,23 @@ def test_grouped_quantiles(spark):
     assert E.quantiles(df.where("false"), "x", shares, ["g"]).count() == 0
 
 
+def test_buckets_depend_on_values_alone(spark):
+    """However rows are dealt over partitions, a value's bucket is the same, so sums of buckets fit the rows they are met with."""
+    rng = np.random.default_rng(6)
+    values = {"even": rng.permutation(30_000).astype(float), "skewed": np.unique(rng.lognormal(0, 3, 20_000)), "few": np.array([2.0, 1.0])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double")
+    dealt = [{(r.g, r.v): r._bucket for r in ordered.bucketed(d, "v", ["g"], 64).collect()} for d in (df.repartition(2), df.repartition(13, "v"), df.orderBy("v"))]
+    assert dealt[0] == dealt[1] == dealt[2] and len(dealt[0]) == len(rows)
+    for g, vs in values.items():
+        own = [dealt[0][g, float(v)] for v in np.sort(vs)]
+        assert own == sorted(own) and max(np.bincount(own)) <= max(1, 3 * len(vs) / 64)
+    sums = {(r.g, r.v): (r.n_sum, r.n_all) for r in ordered.running_sums(df.withColumn("n", F.lit(1)), "v", ["n"], ["g"]).collect()}
+    assert sums == {(g, float(v)): (k + 1, len(vs)) for g, vs in values.items() for k, v in enumerate(np.sort(vs))}
+    one = ordered.running_sums(df.where("g = 'skewed'").withColumn("n", F.lit(1)), "v", ["n"]).collect()
+    assert {r.v: r.n_sum for r in one} == {float(v): k + 1 for k, v in enumerate(np.sort(values["skewed"]))}
+
+
 def test_split_histograms_cover_all_values(spark):
     rows = [(i, t, float(i * t), 3.0) for i in range(6) for t in range(10)]
     df = spark.createDataFrame(rows, "stay_id long, stay_time long, x double, flat double")
