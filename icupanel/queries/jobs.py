@@ -349,7 +349,8 @@ def batch_scoring(spark, d):
 
 @query()
 def backward_elimination(spark, d):
-    log = M.eliminate(once(_model_rows(spark, d), "model-rows"), "boosted", _FEATURES, 1, "fold", maxIter=3, maxDepth=3)
+    rows = once(M.counted(_model_rows(spark, d), _FEATURES, ["label", "fold"]), "counted-rows")
+    log = M.eliminate(rows, "boosted", _FEATURES, 1, "fold", weight="weight", maxIter=3, maxDepth=3)
     return spark.createDataFrame(log, "round int, dropped string, auroc double")
 
 
