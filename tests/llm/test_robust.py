@@ -121,11 +121,12 @@ def test_pairs_in_a_crowd_are_found(spark, exact):
 
 
 def test_unlike_lines_of_a_crowd_are_not_fetched(spark, monkeypatch):
-    """Of hundreds of lines with a common passage only those that may be similar are verified on their texts."""
+    """Of hundreds of lines with a common passage and common words only those that may be similar are verified on their texts."""
     rng, tried, found = random.Random(9), [], lines.links
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
-    shared = " ".join(word() for _ in range(12))
-    texts = [f"{shared} {' '.join(word() for _ in range(60))}" for _ in range(300)]
+    words = [word() for _ in range(300)]
+    shared = " ".join(rng.sample(words, 12))
+    texts = [f"{shared} {' '.join(rng.choices(words, k=60))}" for _ in range(300)]
     texts += [f"{t} end" for t in texts[:20]]
 
     def watch(texts, pairs, similarity):
